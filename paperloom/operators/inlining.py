@@ -194,13 +194,15 @@ def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool, out: l
         out.append((label, node, parent_label, parent_node, attrs if attributes else None))
 
 
-def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool = True, listed: bool = False) -> DataFrame:
+def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool = True, listed: bool = False, declared: tuple[str, ...] = ()) -> DataFrame:
     """All objects of all tables in long form: key, entity, node, parent_entity, parent, attrs.
 
     (key, node) of entity is its primary key and (key, parent) of parent_entity the foreign key. Narrow: one pass over
-    the records, no shuffle. ``attributes=False`` leaves the inlined values out where only the links are wanted.
+    the records, no shuffle. ``declared`` labels
+    get tables even where these records happen to hold only one of them each. ``attributes=False`` leaves the inlined values out where only the links are wanted.
     """
     graph = graph or schema_graph(df, json_col, root_label, listed)
+    graph.tables |= set(declared) & graph.compound
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

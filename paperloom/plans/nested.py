@@ -13,8 +13,8 @@ def _both(spark: SparkSession, d: str, attributes: bool) -> list[tuple[str, Data
     envelopes = load(spark, d, "envelopes").select("record_id", "envelope")
     jobs = load(spark, d, "batch_jobs").select("record_id", "tasks")
     return [
-        ("envelopes", shred(envelopes, "record_id", "envelope", "pages", attributes=attributes)),
-        ("batch_jobs", shred(jobs, "record_id", "tasks", "tasks", attributes=attributes, listed=True)),
+        ("envelopes", shred(envelopes, "record_id", "envelope", "pages", attributes=attributes, declared=("pages", "blocks", "cells", "provenance"))),
+        ("batch_jobs", shred(jobs, "record_id", "tasks", "tasks", attributes=attributes, listed=True, declared=("tasks", "items"))),
     ]
 
 

@@ -15,7 +15,7 @@ def test_shapes_give_the_same_nodes(spark):
     block = {"type": "text", "payload": {"text": "a", "cells": [{"row": 0}, {"row": 1}]}, "provenance": {"s": 1}}
     listed = {"fused": {"pages": [{"blocks": [block]}]}}
     variants = [listed, {"fused": json.dumps(listed["fused"])}, {"pages": [{"blocks": block}]}, {"fused": {"pages": {"1": {"blocks": [block]}}}}]
-    found = rows_of(spark, [json.dumps(v) for v in variants])
+    found = rows_of(spark, [json.dumps(v) for v in variants], declared=("blocks", "cells", "provenance"))
     for i in range(4):
         assert {x[1:] for x in found if x[0] == i} == {("page", "0", ""), ("block", "0.0", "0"), ("cell", "0.0.0", "0.0"), ("cell", "0.0.1", "0.0"), ("provenance", "0.0.0", "0.0")}
 
