@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import addresses
+from . import addresses, lookalikes
 
 SQL: dict[str, str] = {}
 
@@ -22,4 +22,45 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return addresses.address_classes(load(spark, d, "address_values"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes}
+NAMES = ("seller_name", "buyer_name", "invoice_number")
+
+
+def _kie_values(spark: SparkSession, d: str) -> DataFrame:
+    """(task_id, field_name, value) of the compared fields of task results."""
+    fields = F.from_json(F.get_json_object("result", "$.kie_fields"), "map<string,string>")
+    tasks = load(spark, d, "batch_tasks").filter("result is not null").select("task_id", fields.alias("f"))
+    return tasks.select("task_id", F.explode(F.map_filter("f", lambda k, v: k.isin(*NAMES) & v.isNotNull())).alias("field_name", "value"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and task fields with a character that must change; names with the party they then equal."""
+    docs = lookalikes.changed_rows(load(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    docs = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit("text").alias("field_name"), F.lit("").alias("ref_id"))
+    values = _kie_values(spark, d).distinct()
+    script = F.when(F.col("field_name") == "invoice_number", "L").otherwise(lookalikes.text_script(F.col("_t")))
+    values = values.withColumn("key", F.sha2(F.concat_ws("|", "task_id", "field_name", "value"), 256))
+    suspects = values.filter(F.col("value").rlike(lookalikes.SUSPECT))
+    words = lookalikes.exploded_words(suspects, ["key", "field_name"], "value", script, every=True)
+    canon = lookalikes.canonical_words(words)
+    new = words.join(canon, ["word", "script", "company"], "left").groupBy("key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canon", "word").alias("w")))), lambda x: x["w"]), "").alias("canon")
+    )
+    changed = suspects.join(new, "key").filter("canon <> value")
+    squeeze = lambda c: F.trim(F.regexp_replace(c, " +", " "))
+    parties = load(spark, d, "parties").select(F.col("party_id").cast("string").alias("party"), squeeze(F.col("party_name")).alias("name"))
+    named = changed.withColumn("name", F.when(F.col("field_name") != "invoice_number", squeeze(F.col("canon")))).join(parties, "name", "left")
+    named = named.select(F.lit("batch_tasks").alias("tbl"), F.col("task_id").alias("rec_id"), "field_name", F.coalesce("party", F.lit("")).alias("ref_id")).distinct()
+    return docs.unionByName(named)
+
+
+def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its text in the one form."""
+    return lookalikes.normalized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_normalized": p3_normalized,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
+}
