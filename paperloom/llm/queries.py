@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import addresses, lookalikes
+from . import addresses, lookalikes, subjects
 
 SQL: dict[str, str] = {}
 
@@ -58,9 +58,22 @@ def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every non-empty document with the subjects it deals with."""
+    return subjects.document_subjects(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "subject_labels"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters by subject."""
+    docs = load(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
+    return p8_found(spark, d).join(docs, "doc_id").groupBy("subject").agg(F.count("*").alias("n_docs"), F.sum("chars").alias("n_chars"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_normalized": p3_normalized,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
