@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import addresses, lookalikes, subjects
+from . import addresses, leakage, lookalikes, mixing, subjects
 
 SQL: dict[str, str] = {}
 
@@ -58,6 +58,27 @@ def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.normalized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry held-out passages, with the items."""
+    return leakage.leaked_items(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "eval_items").select("item_id", "text"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items of each suite with the number of documents that carry them."""
+    items = load(spark, d, "eval_items").select("item_id", "suite")
+    return p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs")).join(items, "item_id")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of a target source with its tokens, rate and copies in the mix."""
+    return mixing.mixed(load(spark, d, "documents").select("doc_id", "source", "text"), load(spark, d, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """The shares the mix reaches."""
+    return mixing.mix_report(p7_mix(spark, d), load(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Every non-empty document with the subjects it deals with."""
     return subjects.document_subjects(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "subject_labels"))
@@ -74,6 +95,10 @@ QUERIES = {
     "p3_normalized": p3_normalized,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_mix": p7_mix,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
