@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.inlining import shred
 from ..session import load
-from . import addresses, leakage, lookalikes, mixing, subjects
+from . import addresses, leakage, lookalikes, mixing, scans, subjects
 
 SQL: dict[str, str] = {}
 
@@ -32,6 +33,31 @@ def _kie_values(spark: SparkSession, d: str) -> DataFrame:
     return tasks.select("task_id", F.explode(F.map_filter("f", lambda k, v: k.isin(*NAMES) & v.isNotNull())).alias("field_name", "value"))
 
 
+def scanned_records(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id, parts): documents as one part, envelopes as one part per block in order of the record."""
+    part = "array<struct<node:string,page:int,text:string>>"
+    docs = load(spark, d, "documents").filter("length(text) > 0").select(
+        F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"),
+        F.array(F.struct(F.lit("").alias("node"), F.lit(None).cast("int").alias("page"), F.col("text"))).cast(part).alias("parts"),
+    )
+    rows = shred(load(spark, d, "envelopes").select("record_id", "envelope"), "record_id", "envelope", "pages", declared=("pages", "blocks", "cells", "provenance"))
+    text = F.col("attrs").getItem("payload.text")
+    at = F.split("node", "[.]")
+    blocks = rows.filter((F.col("entity") == "block") & (F.length(text) > 0)).select(
+        "record_id", F.struct(at[0].cast("int").alias("page"), at[1].cast("int").alias("no"), "node", text.alias("text")).alias("b")
+    )
+    parts = blocks.groupBy("record_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    envelopes = parts.select(
+        F.lit("envelopes").alias("tbl"), F.col("record_id").cast("string").alias("rec_id"), F.expr("transform(b, x -> struct(x.node as node, x.page as page, x.text as text))").cast(part).alias("parts")
+    )
+    return docs.unionByName(envelopes)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with broken words, misread characters, running headers and page numbers."""
+    return scans.defects(scanned_records(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts and task fields with a character that must change; names with the party they then equal."""
     docs = lookalikes.changed_rows(load(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
@@ -91,6 +117,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p3_found": p3_found,
     "p3_normalized": p3_normalized,
     "p5_found": p5_found,
