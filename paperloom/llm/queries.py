@@ -58,6 +58,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.defects(scanned_records(spark, d))
 
 
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and envelopes as continuous readable paragraphs."""
+    return scans.repaired(scanned_records(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts and task fields with a character that must change; names with the party they then equal."""
     docs = lookalikes.changed_rows(load(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
@@ -118,6 +123,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p3_found": p3_found,
     "p3_normalized": p3_normalized,
     "p5_found": p5_found,
