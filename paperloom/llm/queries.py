@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.inlining import shred
 from ..session import load
-from . import addresses, leakage, lookalikes, mixing, scans, subjects
+from . import addresses, leakage, lookalikes, mixing, pii, scans, subjects
 
 SQL: dict[str, str] = {}
 
@@ -23,6 +23,34 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return addresses.address_classes(load(spark, d, "address_values"))
 
 
+def _review_strings(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, label, text): every string inside the review payloads with the name of its field."""
+    rows = load(spark, d, "hitl_reviews").filter("length(payload) > 0").select(F.col("review_id").alias("rec_id"), "payload").distinct()
+
+    def strings(batches):
+        import pandas as pd
+
+        from .pii_train import review_strings
+
+        for pdf in batches:
+            yield pd.DataFrame([(r, k, v) for r, p in zip(pdf["rec_id"], pdf["payload"]) for k, v in review_strings(p)], columns=["rec_id", "label", "text"])
+
+    return rows.mapInPandas(strings, "rec_id string, label string, text string")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Names, mail addresses, telephone numbers, identity numbers and street addresses as written."""
+    docs = pii.personal_spans(load(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    docs = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("rec_id"), "kind", "pii_value")
+    reviews = pii.personal_spans(_review_strings(spark, d), ["rec_id"], "text", "label")
+    return docs.unionByName(reviews.select(F.lit("hitl_reviews").alias("tbl"), "rec_id", "kind", "pii_value")).distinct()
+
+
+def p2_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with typed placeholders for personal information."""
+    return pii.masked(load(spark, d, "documents").select("doc_id", "text"), "text")
+
+
 NAMES = ("seller_name", "buyer_name", "invoice_number")
 
 
@@ -124,6 +152,8 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
+    "p2_found": p2_found,
+    "p2_masked": p2_masked,
     "p3_found": p3_found,
     "p3_normalized": p3_normalized,
     "p5_found": p5_found,
