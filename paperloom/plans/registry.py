@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import nested
+from . import catalogue, nested
 
-QUERIES = {**nested.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**nested.QUERIES, **catalogue.QUERIES}
+SQL: dict[str, str] = dict(catalogue.SQL)
