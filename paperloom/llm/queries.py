@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.inlining import shred
-from ..session import load
+from ..session import cut, load
 from . import addresses, leakage, lookalikes, mixing, pii, scans, subjects
 
 SQL: dict[str, str] = {}
@@ -74,7 +74,8 @@ def scanned_records(spark: SparkSession, d: str) -> DataFrame:
     blocks = rows.filter((F.col("entity") == "block") & (F.length(text) > 0)).select(
         "record_id", F.struct(at[0].cast("int").alias("page"), at[1].cast("int").alias("no"), "node", text.alias("text")).alias("b")
     )
-    parts = blocks.groupBy("record_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    # read three times over, so the small parsed side is kept in the shared folder
+    parts = cut(blocks.groupBy("record_id").agg(F.array_sort(F.collect_list("b")).alias("b")))
     envelopes = parts.select(
         F.lit("envelopes").alias("tbl"), F.col("record_id").cast("string").alias("rec_id"), F.expr("transform(b, x -> struct(x.node as node, x.page as page, x.text as text))").cast(part).alias("parts")
     )
