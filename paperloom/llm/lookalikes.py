@@ -199,6 +199,6 @@ def normalized(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def changed_rows(df: DataFrame, keys: list[str], text: str, script: Column | None = None) -> DataFrame:
     """Distinct keys of the rows whose text has a character that must change."""
-    words = exploded_words(df, keys, text, script)
+    words = cut(exploded_words(df, keys, text, script))  # few beside the text, and read three times
     canon = canonical_words(words).filter("canon <> word").select("word", "script", "company")
     return words.join(canon, ["word", "script", "company"], "left_semi").select(*keys).distinct()
