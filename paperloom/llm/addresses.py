@@ -3,7 +3,8 @@
 Each record's joined text is parsed into house number, unit, street words, street type, city and postal code, whatever
 the order and separators. Abbreviations are expanded by locale dictionaries. Misspelt street and city words are drawn
 to the corpus word they come from: symmetric deletes generate the candidates in one join, and a word counts as a
-misspelling only of a far more frequent word one edit away. Records with equal canonical components are one class;
+misspelling only of a word one edit away that is far more frequent among distinct written forms, or whose forms agree
+with its own in all other components. Records with equal canonical components are one class;
 classes are joined on (house, unit, type, street) and then decided by explicit rules for missing components:
 
 - both cities known: they must be equal, or the postal codes must be equal where one city is a misspelling of the other;
@@ -158,8 +159,11 @@ def parsed_addresses(df: DataFrame, key: str = "address_id", parts: tuple[str, .
     return df.select(F.col(key).alias("k"), joined.alias("t")).filter(F.trim("t") != "").mapInPandas(rows, f"k {kind}, {COMPONENTS}").withColumnRenamed("k", key)
 
 
-#: A word is a misspelling of one at least so many times as frequent, or, while it is seen at most twice, of one FEW_RATIO times as frequent.
-RATIO, FEW, FEW_RATIO = 20, 2, 4
+#: A word is a misspelling of one at least so many times as frequent among the distinct written forms of addresses, or
+#: of one near to it where this share of its own forms stands beside another form that is equal in all else.
+RATIO, SUPPORT = 20, 0.25
+#: A head of compounds is seen in more forms than this.
+FEW = 2
 
 
 def _deletes(word):
@@ -177,52 +181,118 @@ def _damerau_one(a, b):
     return (F.levenshtein(a, b) == 1) | ((n == F.length(b)) & (at > 0) & (swapped == b))
 
 
-def spelling_corrections(words: DataFrame) -> DataFrame:
-    """(field, word, right) out of word counts (field, word, n), for words that are misspellings of far more frequent ones.
-
-    Symmetric deletes turn the search into one equi-join. A compound of a frequent word and a tail that many words
-    share is a word of its own, however rare.
-    """
+def _near_words(words: DataFrame) -> DataFrame:
+    """(field, word, right, n, sure): pairs of words one edit apart, the rarer one first, n the count of the other one."""
     variants = words.filter(F.length("word") >= 3).select("field", "word", "n", F.explode(_deletes(F.col("word"))).alias("v"))
-    enough = (F.col("b.n") >= RATIO * F.col("a.n")) | ((F.col("a.n") <= FEW) & (F.col("b.n") >= FEW_RATIO * F.col("a.n")))
-    pairs = (
+    rarer = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.word") > F.col("b.word")))
+    return (
         variants.alias("a")
-        .join(variants.alias("b"), (F.col("a.field") == F.col("b.field")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.n") < F.col("b.n")))
-        .filter(enough)
-        .select("a.field", "a.word", F.col("b.word").alias("right"), F.col("b.n").alias("n"))
+        .join(variants.alias("b"), (F.col("a.field") == F.col("b.field")) & (F.col("a.v") == F.col("b.v")) & rarer)
+        .select("a.field", "a.word", F.col("b.word").alias("right"), F.col("b.n").alias("n"), (F.col("b.n") >= RATIO * F.col("a.n")).alias("sure"))
         .distinct()
         .filter(_damerau_one(F.col("word"), F.col("right")))
     )
+
+
+def _compounds(words: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(field, word) of compounds of a frequent word and a tail that many words share: words of their own, however rare."""
     splits = words.filter((F.length("word") >= 7) & (F.col("field") == "street")).select(
         "field", "word", F.explode(F.sequence(F.lit(3), F.length("word") - 4)).alias("i")
     )
     splits = splits.select("field", "word", F.expr("substr(word, 1, i)").alias("head"), F.expr("substr(word, i + 1)").alias("tail"))
-    pairs = cut(pairs)
-    heads = words.filter(F.col("n") > FEW).join(pairs, ["field", "word"], "left_anti").select("field", F.col("word").alias("head"))
+    heads = words.filter(F.col("n") > FEW).join(wrong, ["field", "word"], "left_anti").select("field", F.col("word").alias("head"))
     known = splits.join(heads, ["field", "head"])
     tails = cut(known.groupBy("field", "tail").agg(F.countDistinct("head").alias("k")))
     least = max(5, 0.3 * (tails.agg(F.max("k")).first()[0] or 0))
     tails = tails.filter(F.col("k") >= least).select("field", "tail")
-    compounds = known.join(tails, ["field", "tail"]).select("field", "word").distinct()
-    return pairs.join(compounds, ["field", "word"], "left_anti").groupBy("field", "word").agg(F.max_by("right", F.struct("n", "right")).alias("right"))
+    return known.join(tails, ["field", "tail"]).select("field", "word").distinct()
 
 
-def canonical_addresses(df: DataFrame, key: str = "address_id") -> DataFrame:
-    """Records with canonical components: house, unit, kind, street, city, postal ('' where missing)."""
-    parsed = cut(parsed_addresses(df, key))
-    exploded = parsed.select(key, F.explode(F.array(
+def _words_of(forms: DataFrame) -> DataFrame:
+    """(form, field, pos, word) of the street and city words of forms."""
+    return forms.select("form", F.explode(F.array(
         F.struct(F.lit("street").alias("field"), F.col("street").alias("words")), F.struct(F.lit("city").alias("field"), F.col("city").alias("words")),
-    )).alias("p")).select(key, "p.field", F.posexplode("p.words").alias("pos", "word"))
-    counts = exploded.groupBy("field", "word").agg(F.count("*").alias("n"))
-    fixes = spelling_corrections(cut(counts))
-    right = exploded.join(fixes, ["field", "word"], "left").select(key, "field", "pos", F.coalesce("right", "word").alias("w"))
-    lines = right.groupBy(key).agg(
-        *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "w")))), lambda x: x["w"]), " ").alias(f) for f in ("street", "city")]
+    )).alias("p")).select("form", "p.field", F.posexplode("p.words").alias("pos", "word"))
+
+
+def _corrected(forms: DataFrame, fixes: DataFrame) -> DataFrame:
+    """Forms with their street and city words put right."""
+    right = _words_of(forms).join(fixes, ["field", "word"], "left").select("form", "field", "pos", F.coalesce("right", "word").alias("w"))
+    lines = right.groupBy("form").agg(
+        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("pos", "w")))), lambda x: x["w"]).alias(f) for f in ("street", "city")]
     )
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return parsed.select(key, *[blank(F.col(c)).alias(c) for c in ("house", "unit", "kind", "postal")]).join(lines, key, "left").select(
-        key, "house", "unit", "kind", blank(F.col("street")).alias("street"), blank(F.col("city")).alias("city"), "postal"
+    none = F.array().cast("array<string>")
+    return forms.drop("street", "city").join(lines, "form", "left").withColumns({f: F.coalesce(f, none) for f in ("street", "city")})
+
+
+def _supported(forms: DataFrame, near: DataFrame) -> DataFrame:
+    """(field, word, right, k): forms that hold ``word`` and are equal in all else to a form with ``right`` or another word near it.
+
+    All else is house, unit, type, the other words, and place or postal code as far as both are given.
+    """
+    targets = near.select("field", "word", "right").union(near.select("field", F.col("right").alias("word"), "right")).distinct()
+    text = lambda f: F.array_join(f, " ")
+    whole = forms.select(
+        "form", F.col("street").alias("s"), F.col("city").alias("c"), text("city").alias("place"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("house", "unit", "kind", "postal")],
+    ).filter("size(s) > 0 and (house <> '' or postal <> '')")
+    each = _words_of(forms).join(whole, "form").join(targets, ["field", "word"])
+    own = F.when(F.col("field") == "street", F.col("s")).otherwise(F.col("c"))
+    rest = F.transform(own, lambda w, i: F.when(i == F.col("pos"), F.lit("*")).otherwise(w))
+    each = cut(each.select(
+        "form", "field", "word", "right", "house", "unit", "kind", "postal", "place", text(rest).alias("rest"),
+        F.when(F.col("field") == "city", text("s")).otherwise("").alias("street"), F.when(F.col("house") == "", F.col("postal")).otherwise("").alias("code"),
+    ))
+    a, b = each.filter("word <> right").alias("a"), each.alias("b")
+    equal = F.lit(True)
+    for c in ("field", "right", "house", "unit", "kind", "rest", "street", "code"):
+        equal = equal & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    place = F.expr(
+        "(a.place <> '' and a.place = b.place)"
+        " or (a.place <> '' and b.place <> '' and levenshtein(a.place, b.place) <= 2 and (a.postal = b.postal or a.postal = '' or b.postal = ''))"
+        " or (a.postal <> '' and a.postal = b.postal and (a.place = '' or b.place = ''))"
+        " or (a.place = '' and a.postal = '') or (b.place = '' and b.postal = '')"
     )
+    met = a.join(b, equal & (F.col("a.word") != F.col("b.word")) & place)
+    return met.groupBy("a.field", "a.word", "a.right").agg(F.countDistinct("a.form").alias("k"))
+
+
+def spelling_corrections(forms: DataFrame) -> DataFrame:
+    """(field, word, right) for words of distinct forms (form, house, unit, kind, street, city, postal) that are misspellings.
+
+    Symmetric deletes turn the search for near words into one equi-join. A far more frequent near word is the right one;
+    else it is where the forms of the rarer word stand beside equal ones of the other. Copies of a record and the size
+    of the corpus change neither test.
+    """
+    words = cut(_words_of(forms).select("form", "field", "word").distinct().groupBy("field", "word").agg(F.count("*").alias("n")))
+    near = cut(_near_words(words))
+    wrong = near.filter("sure").select("field", "word").distinct()
+    near = cut(near.join(_compounds(words, wrong), ["field", "word"], "left_anti"))
+    best = F.max_by("right", F.struct("n", "right")).alias("right")
+    sure = cut(near.filter("sure").groupBy("field", "word").agg(best))
+    doubtful = near.join(sure.select("field", "word"), ["field", "word"], "left_anti").join(sure.select("field", F.col("word").alias("right")), ["field", "right"], "left_anti")
+    doubtful = cut(doubtful.select("field", "word", "right", "n"))
+    k = _supported(_corrected(forms, sure), doubtful)
+    shown = doubtful.join(k, ["field", "word", "right"]).join(words.select("field", "word", F.col("n").alias("own")), ["field", "word"])
+    fixes = cut(sure.unionByName(shown.filter(F.col("k") >= SUPPORT * F.col("own")).groupBy("field", "word").agg(best)))
+    while True:  # the right word may be a misspelling itself; it is more frequent at each step, so this ends
+        onward = fixes.select("field", F.col("word").alias("right"), F.col("right").alias("next"))
+        if fixes.join(onward, ["field", "right"], "left_semi").isEmpty():
+            return fixes
+        fixes = cut(fixes.join(onward, ["field", "right"], "left").select("field", "word", F.coalesce("next", "right").alias("right")))
+
+
+PARTS = ["house", "unit", "kind", "street", "city", "postal"]
+
+
+def canonical_addresses(df: DataFrame, key: str = "address_id") -> DataFrame:
+    """Records with canonical components: house, unit, kind, street, city, postal ('' where missing)."""
+    parsed = cut(parsed_addresses(df, key).withColumn("form", F.sha2(F.to_json(F.struct(*PARTS)), 256)))
+    forms = cut(parsed.select("form", *PARTS).dropDuplicates(["form"]))
+    right = _corrected(forms, spelling_corrections(forms))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    right = right.select("form", *[blank(F.col(c)).alias(c) for c in ("house", "unit", "kind", "postal")], *[F.array_join(f, " ").alias(f) for f in ("street", "city")])
+    return parsed.select(key, "form").join(right, "form").select(key, *PARTS)
 
 
 STREET_KEY = ["house", "unit", "kind", "street"]

@@ -36,6 +36,15 @@ def test_misspelt_words_follow_the_corpus(spark):
     assert got == {(7, 30)}
 
 
+def test_copies_do_not_make_a_misspelling_a_word(spark):
+    texts = [f"{i} Falconside Street, Corarburg, 10225" for i in range(10)] + ["7 Falonside St, Corarburg 10225"] * 4
+    got = {tuple(r) for r in addresses.same_location_pairs(table(spark, texts)).collect()}
+    assert got == set(itertools.combinations([7, 10, 11, 12, 13], 2))
+    texts = [f"{i} Hill Street, Corarburg, 10225" for i in range(30)] * 2 + [f"{i} Mill Street, Corarburg, 10225" for i in range(40, 45)]
+    got = {tuple(r) for r in addresses.same_location_pairs(table(spark, texts)).collect()}
+    assert got == {(i, i + 30) for i in range(30)}
+
+
 def test_balance_meets_targets(spark):
     rows = [(i, "a" if i % 3 else "b", "word " * (1 + i % 17), "y") for i in range(600)] + [(900, None, "word", "y"), (901, "c", None, "y"), (902, "zz", "word", "y")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, tokens string").drop("tokens")
