@@ -1,6 +1,6 @@
 """Repair of text from scanned pages.
 
-Words are counted over the whole corpus. A symmetric-delete index over that frequency lexicon (on words folded by the
+Words are counted over the different texts of the whole corpus. A symmetric-delete index over that frequency lexicon (on words folded by the
 usual recognition confusions, so that several confusions in a word still meet) generates correction candidates in one
 join; a weighted edit distance, cheap for confusion pairs, and the bigram with the word before pick the repair. A word is
 misread only against a far more frequent word, so the test reads alike at every corpus size. Page furniture (page
@@ -124,40 +124,55 @@ def weighted_distance(right: str, read: str) -> float:
 
 
 def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) in lower case over all texts, words broken at line ends left out. Counted in the tasks before the shuffle."""
+    """(word, n, copied) in lower case, words broken at line ends left out: n over the different texts, copied over all rows.
+
+    Counted in the tasks before the shuffle.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens: Counter = Counter()
         cut_off: Counter = Counter()
+        again: Counter = Counter()  # what copies add
+        cut_again: Counter = Counter()
 
-        def out():
+        def words_of(tokens, cut_off):
             # each different token is taken apart once, however often it stands in the texts
             words: Counter = Counter()
             for token, n in tokens.items():
                 for w in token_words(token):
                     words[w] += n
             words.subtract(cut_off)
-            own = {w: n for w, n in words.items() if n}
-            return pd.DataFrame({"word": list(own.keys()), "n": list(own.values())})
+            return words
+
+        def out():
+            words, more = words_of(tokens, cut_off), words_of(again, cut_again)
+            own = [(w, words[w], words[w] + more[w]) for w in {**words, **more} if words[w] or more[w]]
+            return pd.DataFrame(own, columns=["word", "n", "copied"])
 
         for pdf in batches:
-            for t in pdf["t"]:
+            for t, copies in zip(pdf["t"], pdf["copies"]):
                 tokens.update(t.split())
-                if "\n" in t:
-                    cut_off.update(halves(t))
+                broken = halves(t) if "\n" in t else ()
+                cut_off.update(broken)
+                if copies > 1:
+                    for own, all_of in ((t.split(), again), (broken, cut_again)):
+                        for w, n in Counter(own).items():
+                            all_of[w] += n * (copies - 1)
             if len(tokens) > 300_000:
                 yield out()
-                tokens, cut_off = Counter(), Counter()
+                tokens, cut_off, again, cut_again = Counter(), Counter(), Counter(), Counter()
         yield out()
 
-    own = texts.filter(F.length(text) > 0).select(F.col(text).alias("t"))
-    return own.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    own = texts.filter(F.length(text) > 0).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("copies"))
+    return own.mapInPandas(count, "word string, n long, copied long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("copied").alias("copied")).filter("n > 0")
 
 
 def corrections(counts: DataFrame) -> DataFrame:
     """(word, right, cost, n): candidates for every word that reads as a misrecognised far more frequent one.
 
-    The lexicon and the queries meet on symmetric deletes of their folded forms.
+    The lexicon and the queries meet on symmetric deletes of their folded forms. Frequency is that over different texts,
+    so copies of a scan neither hide its misread words nor make them right. Only a word too rare there to be right for
+    any other (below RATIO) is judged by its rows, and not against a word in more texts.
     """
 
     @F.pandas_udf("array<string>")
@@ -175,8 +190,9 @@ def corrections(counts: DataFrame) -> DataFrame:
 
     pure = counts.filter((F.length("word") >= 3) & (F.length("word") <= 40) & ~F.col("word").rlike(r"^[\d-]+$"))
     index = cut(pure.withColumn("k", F.explode(keys("word"))))
-    lexicon = index.filter((F.col("n") >= RATIO) & ~F.col("word").rlike(r"\d")).select("k", F.col("word").alias("right"), F.col("n").alias("right_n"))
-    pairs = index.join(lexicon, "k").filter((F.col("right_n") >= RATIO * F.col("n")) & (F.abs(F.length("word") - F.length("right")) <= 3)).select("word", "n", "right", "right_n").distinct()
+    lexicon = index.filter((F.col("copied") >= RATIO) & ~F.col("word").rlike(r"\d")).select("k", F.col("word").alias("right"), F.col("n").alias("right_n"), F.col("copied").alias("right_copied"))
+    more = F.when(F.col("right_n") >= RATIO, F.col("right_n") >= RATIO * F.col("n")).otherwise((F.col("right_n") >= F.col("n")) & (F.col("right_copied") >= RATIO * F.col("copied")))
+    pairs = index.join(lexicon, "k").filter(more & (F.abs(F.length("word") - F.length("right")) <= 3)).select("word", "n", "right", "right_n").distinct()
     return pairs.withColumn("cost", cost("right", "word")).filter((F.col("cost") > 0) & (F.col("cost") <= LIMIT)).select("word", "right", "cost", F.col("right_n").alias("n"))
 
 
@@ -395,7 +411,7 @@ def raw_findings(records: DataFrame, known: dict[str, int]) -> DataFrame:
 
 
 def lexicon_of(records: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
-    """Word counts, correction candidates and the frequent words of all records."""
+    """Word counts over the different texts, correction candidates and the frequent words of all records."""
     counts = cut(word_counts(records.select(F.explode("parts.text").alias("text"))))
     wrong = cut(corrections(counts))
     return counts, wrong, common_words(counts, wrong)
@@ -411,7 +427,7 @@ def defects(records: DataFrame) -> DataFrame:
 
 
 def bigram_counts(records: DataFrame, words: set[str]) -> DataFrame:
-    """(prev, right, b): how often a word stands before each of ``words``, over all texts."""
+    """(prev, right, b): how often a word stands before each of ``words``, over the different texts."""
     sent = records.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -422,7 +438,7 @@ def bigram_counts(records: DataFrame, words: set[str]) -> DataFrame:
                 seen.update((a, b) for a, b in zip(w, w[1:]) if b in sent.value)
             yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["prev", "right", "b"])
 
-    texts = records.select(F.explode("parts.text").alias("t")).filter("length(t) > 0")
+    texts = records.select(F.explode("parts.text").alias("t")).filter("length(t) > 0").distinct()
     return texts.mapInPandas(count, "prev string, right string, b long").groupBy("prev", "right").agg(F.sum("b").alias("b"))
 
 

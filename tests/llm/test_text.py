@@ -58,6 +58,15 @@ def test_defects_end_to_end(spark):
     assert scans.defects(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_scan_do_not_hide_its_misread_words(spark):
+    part = "array<struct<node:string,page:int,text:string>>"
+    rows = [("documents", str(i), [("", None, f"the laboratory measured signal {i} again")]) for i in range(30)]
+    rows += [("documents", f"x{i}", [("", None, "the laboratory rneasured it\nagain")]) for i in range(15)]
+    df = spark.createDataFrame(rows, f"tbl string, rec_id string, parts {part}")
+    got = {tuple(r) for r in scans.defects(df).collect()}
+    assert got == {("documents", f"x{i}", "", 0, "misread") for i in range(15)}
+
+
 def test_tagger_finds_kinds_and_leaves_decoys(spark):
     text = (
         "Contact person: Helen Aldringsby. Call +44 20 7946 0147 during office hours. Tax id 00-1525308 was printed twice. "
