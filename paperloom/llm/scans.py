@@ -258,8 +258,16 @@ def furniture(lines: list[tuple[str, int, int | None, str]]) -> dict[int, str]:
             groups.setdefault(key, []).append(i)
     keys = sorted(groups, key=lambda k: -len(groups[k]))
     merged: dict[bytes, list[int]] = {}
+    near: dict[tuple, list[tuple[int, bytes]]] = {}
     for k in keys:
-        to = next((m for m in merged if abs(len(m) - len(k)) <= 2 and m != k and len(k) >= 8 and len(merged) < 60 and _close(m, k)), k)
+        to = k
+        if len(k) >= 8:
+            # keys that can be close share three characters at an end or all between; the first of them in order is taken
+            some = {x for n in range(len(k) - 2, len(k) + 3) for part in _parts(k) for x in near.get((n, *part), ())}
+            to = next((m for _, m in sorted(some) if _close(m, k)), k)
+        if to == k:
+            for part in _parts(k):
+                near.setdefault((len(k), *part), []).append((len(merged), k))
         merged.setdefault(to, []).extend(groups[k])
     for own in merged.values():
         if len(own) < 2:
@@ -276,6 +284,11 @@ def furniture(lines: list[tuple[str, int, int | None, str]]) -> dict[int, str]:
     return found
 
 
+def _parts(k: bytes) -> tuple[tuple[str, bytes], ...]:
+    """Pieces of a key of which close keys share at least one (see _close)."""
+    return ("start", k[:3]), ("end", k[-3:]), ("middle", k[3:-3])
+
+
 def _close(a: bytes, b: bytes) -> bool:
     """Whether two keys are at most two edits apart."""
     if a[:2] != b[:2] and a[-2:] != b[-2:] or len(set(a) ^ set(b)) > 4 or a[:3] != b[:3] and a[-3:] != b[-3:] and a[3:-3] != b[3:-3]:

@@ -33,6 +33,17 @@ def test_page_furniture_and_broken_words():
     assert found == {(0, "running_header"), (3, "running_header"), (2, "page_number"), (6, "page_number"), (1, "broken_word")}
 
 
+def test_damaged_header_of_a_long_record():
+    r = random.Random(3)
+    parts = []
+    for page in range(90):
+        if page in (0, 1, 85):
+            parts.append((f"{page}.0", page, "Annex on barley crops" if page < 85 else "Annex on barlxy crops"))
+        parts.append((f"{page}.1", page, "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(30)).capitalize()))
+    lines = scans.record_lines(parts)
+    assert [lines[i][0] for i in sorted(scans.furniture(lines))] == ["0.0", "1.0", "85.0"]
+
+
 def test_numbers_of_a_table_are_no_page_numbers():
     text = "barley crop\n12\n770.88\ntitle\n13\n310.56"
     assert not [x for x in scans.record_findings(lines(text), KNOWN) if x[1] == "page_number"]
