@@ -439,8 +439,8 @@ def defects(records: DataFrame) -> DataFrame:
     return sure.unionByName(words.select("tbl", "rec_id", "node", "line_no", F.lit("misread").alias("defect"))).distinct()
 
 
-def bigram_counts(records: DataFrame, words: set[str]) -> DataFrame:
-    """(prev, right, b): how often a word stands before each of ``words``, over the different texts."""
+def bigram_counts(records: DataFrame, words: set[str] | None) -> DataFrame:
+    """(prev, right, b): how often a word stands before each of ``words`` (None: before any), over the different texts."""
     sent = records.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -448,7 +448,7 @@ def bigram_counts(records: DataFrame, words: set[str]) -> DataFrame:
             seen: Counter = Counter()
             for t in pdf["t"]:
                 w = token_words(t)
-                seen.update((a, b) for a, b in zip(w, w[1:]) if b in sent.value)
+                seen.update((a, b) for a, b in zip(w, w[1:]) if sent.value is None or b in sent.value)
             yield pd.DataFrame([(a, b, n) for (a, b), n in seen.items()], columns=["prev", "right", "b"])
 
     texts = records.select(F.explode("parts.text").alias("t")).filter("length(t) > 0").distinct()
@@ -458,11 +458,16 @@ def bigram_counts(records: DataFrame, words: set[str]) -> DataFrame:
 def chosen_repairs(records: DataFrame, found: DataFrame, wrong: DataFrame) -> DataFrame:
     """(tbl, rec_id, word, right) for misread words; several candidates are decided by the word before, then cost, then frequency."""
     options = cut(wrong.groupBy("word").agg(F.collect_list(F.struct("right", "cost", "n")).alias("o")))
-    unsure = options.filter("size(o) > 1").select(F.explode("o.right").alias("right")).distinct().limit(COMMON_WORDS + 1).collect()
+    every = options.filter("size(o) > 1").select(F.explode("o.right").alias("right")).distinct()
+    unsure = every.limit(COMMON_WORDS + 1).collect()
     words = found.filter("kind = 'word'").select("tbl", "rec_id", "word", "prev").distinct()
     each = words.join(options, "word").select("tbl", "rec_id", "word", "prev", F.explode("o").alias("o")).select("tbl", "rec_id", "word", "prev", "o.*")
-    if unsure and len(unsure) <= COMMON_WORDS:
-        context = bigram_counts(records, {r["right"] for r in unsure})
+    if unsure:
+        # more words than a task should get are joined with the counts of all bigrams
+        few = len(unsure) <= COMMON_WORDS
+        context = bigram_counts(records, {r["right"] for r in unsure} if few else None)
+        if not few:
+            context = context.join(every, "right", "left_semi")
         each = each.join(context, ["prev", "right"], "left")
     else:
         each = each.withColumn("b", F.lit(0))

@@ -69,6 +69,17 @@ def test_defects_end_to_end(spark):
     assert scans.defects(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [60_000, 1])
+def test_word_before_decides_at_any_number_of_candidates(spark, monkeypatch, bound):
+    monkeypatch.setattr(scans, "COMMON_WORDS", bound)
+    part = "array<struct<node:string,page:int,text:string>>"
+    rows = [("documents", str(i), [("", None, t)]) for i, t in enumerate(["old coal", "the goal", "the goal"])]
+    df = spark.createDataFrame(rows, f"tbl string, rec_id string, parts {part}")
+    found = spark.createDataFrame([("documents", "9", "word", "xoal", "old")], "tbl string, rec_id string, kind string, word string, prev string")
+    wrong = spark.createDataFrame([("xoal", "coal", 0.3, 20), ("xoal", "goal", 0.3, 40)], "word string, right string, cost double, n long")
+    assert [r["right"] for r in scans.chosen_repairs(df, found, wrong).collect()] == ["coal"]
+
+
 def test_copies_of_a_scan_do_not_hide_its_misread_words(spark):
     part = "array<struct<node:string,page:int,text:string>>"
     rows = [("documents", str(i), [("", None, f"the laboratory measured signal {i} again")]) for i in range(30)]
