@@ -101,6 +101,11 @@ def test_tagger_finds_kinds_and_leaves_decoys(spark):
     assert "[NAME]" in masked.text and "Aldringsby" not in masked.text and masked.extra == "x" and "REF382336448" in masked.text
 
 
+@pytest.mark.parametrize("text", ["its number is AB123456C here", "to weg 5, D-12345 ort", "see tel.0171 2345678 now"])
+def test_each_shape_has_a_trigger(text):
+    assert pii.TRIGGER.search(text)
+
+
 def test_viterbi_equals_brute_force():
     t = pii.Tagger.load()
     x = pii.encoded("Attn")[:, None][:3]
