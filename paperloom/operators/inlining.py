@@ -3,7 +3,9 @@
 The schema graph of all records is analysed first: its nodes are the labels of objects, its edges say which label
 occurs inside which, how often, and whether repeated. A label gets a table of its own when it is repeated (an array
 of objects or an object keyed by positions), shared (inside two different labels) or recursive; every other
-descendant is a singleton and is inlined into the nearest table above it under a dotted column name.
+descendant is a singleton and is inlined into the nearest table above it under a dotted column name. The graph also
+notes which values stand under which label and of what kind they are, so it gives the typed columns of every table
+(``flat_tables``); nothing is named by hand.
 
 Defined results: null, empty and unreadable records give no rows. A lone object where others hold an array is an
 array of one. A string that holds an encoded object or array counts as that object wherever the label is an object
@@ -21,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct (parent, child) label pairs a schema may have; the graph is the only thing that reaches the driver.
+#: Distinct (parent, child) label pairs and (label, value) pairs a schema may have; the graph is the only thing that reaches the
+#: driver. Records with more have data in their keys; they are refused with an error that says so, never cut.
 MAX_EDGES = 20_000
 ROOT = ""
 
@@ -33,6 +36,23 @@ class SchemaGraph:
     compound: set[str] = field(default_factory=set)
     tables: set[str] = field(default_factory=set)
     edges: dict[tuple[str, str], dict[str, int]] = field(default_factory=dict)
+    values: dict[tuple[str, str], set[str]] = field(default_factory=dict)
+
+    def columns(self, label: str) -> dict[str, str]:
+        """Dotted path and SQL type of all values inlined into the table of a label, in order of their names."""
+        out: dict[str, str] = {}
+        todo = [(label, "", frozenset([label]))]
+        while todo:
+            at, path, above = todo.pop()
+            for (owner, name), kinds in self.values.items():
+                if owner == at and name not in self.tables and not (name in self.compound and kinds == {"text"}):
+                    out[path + name] = _sql_type(kinds | ({"text"} if path + name in out else set()))
+            todo += [(c, f"{path}{c}.", above | {c}) for p, c in self.edges if p == at and c not in self.tables and c not in above]
+        return dict(sorted(out.items()))
+
+
+def _sql_type(kinds: set[str]) -> str:
+    return "bigint" if kinds == {"whole"} else "double" if kinds <= {"whole", "real"} else "boolean" if kinds == {"truth"} else "string"
 
 
 def _decoded(value: str):
@@ -77,6 +97,9 @@ def _rooted(record, root_label: str, listed: bool):
     return record
 
 
+_KINDS = {bool: "truth", int: "whole", float: "real", str: "text"}
+
+
 def _walk_edges(record, root_label: str, out: dict) -> None:
     def note(parent, child, kind):
         slot = out.setdefault((parent, child), [0, 0, 0])
@@ -96,8 +119,16 @@ def _walk_edges(record, root_label: str, out: dict) -> None:
             note(parent, label, 2 if encoded else (1 if repeated else 0))
         for obj in objects:
             for k, v in obj.items():
-                if isinstance(v, (dict, list)) or isinstance(v, str) and v[:1] in ("{", "["):
-                    stack.append((label, k, v))
+                kind = _KINDS.get(type(v))
+                if kind is None or kind == "text" and v[:1] in ("{", "["):
+                    if v is not None:
+                        stack.append((label, k, v))
+                    if kind is None and not (type(v) is list and v and not any(isinstance(x, dict) for x in v)):
+                        continue
+                    kind = "text"
+                slot = out.get((label, k, kind))
+                if slot is None:
+                    out[label, k, kind] = [1]
 
 
 def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = False) -> SchemaGraph:
@@ -110,12 +141,13 @@ def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = F
                 record = _rooted(_record(text), root_label, listed)
                 if isinstance(record, (dict, list)):
                     _walk_edges(record, root_label, seen)
-        yield pd.DataFrame([(p, c, *n) for (p, c), n in seen.items()], columns=["parent", "child", "lone", "repeated", "encoded"])
+        edges_ = [(*x, None, *n) for x, n in seen.items() if len(x) == 2]
+        yield pd.DataFrame(edges_ + [(*x, 0, 0, 0) for x in seen if len(x) == 3], columns=["parent", "child", "kind", "lone", "repeated", "encoded"])
 
     counted = (
         df.select(F.col(json_col).cast("string").alias("j"))
-        .mapInPandas(edges, "parent string, child string, lone long, repeated long, encoded long")
-        .groupBy("parent", "child")
+        .mapInPandas(edges, "parent string, child string, kind string, lone long, repeated long, encoded long")
+        .groupBy("parent", "child", "kind")
         .agg(F.sum("lone").alias("lone"), F.sum("repeated").alias("repeated"), F.sum("encoded").alias("encoded"))
     )
     rows = counted.limit(MAX_EDGES + 1).collect()
@@ -123,6 +155,10 @@ def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = F
         raise ValueError(f"more than {MAX_EDGES} different label pairs: keys look like data, not like a schema")
     graph = SchemaGraph()
     parents: dict[str, set[str]] = {}
+    for r in rows:
+        if r.kind is not None:
+            graph.values.setdefault((r.parent, r.child), set()).add(r.kind)
+    rows = [r for r in rows if r.kind is None]
     for r in rows:
         if r.lone or r.repeated:
             graph.compound.add(r.child)
@@ -194,15 +230,13 @@ def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool, out: l
         out.append((label, node, parent_label, parent_node, attrs if attributes else None))
 
 
-def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool = True, listed: bool = False, declared: tuple[str, ...] = ()) -> DataFrame:
+def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool = True, listed: bool = False) -> DataFrame:
     """All objects of all tables in long form: key, entity, node, parent_entity, parent, attrs.
 
     (key, node) of entity is its primary key and (key, parent) of parent_entity the foreign key. Narrow: one pass over
-    the records, no shuffle. ``declared`` labels
-    get tables even where these records happen to hold only one of them each. ``attributes=False`` leaves the inlined values out where only the links are wanted.
+    the records, no shuffle. ``attributes=False`` leaves the inlined values out where only the links are wanted.
     """
     graph = graph or schema_graph(df, json_col, root_label, listed)
-    graph.tables |= set(declared) & graph.compound
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,8 +261,30 @@ def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: Schema
     return out.withColumnRenamed("k", key)
 
 
-def entity_table(rows: DataFrame, entity: str, columns: list[str], key: str = "record_id") -> DataFrame:
-    """One flat table out of the long form, with the named inlined columns (dots become underscores)."""
+def column_names(paths: list[str], taken: tuple[str, ...]) -> dict[str, str]:
+    """A column name for every dotted path: dots become underscores, names that clash get a number."""
+    used, out = {x.lower() for x in taken}, {}
+    for path in paths:
+        name = base = path.replace(".", "_") or "value"
+        n = 1
+        while name.lower() in used:
+            n += 1
+            name = f"{base}_{n}"
+        used.add(name.lower())
+        out[path] = name
+    return out
+
+
+def entity_table(rows: DataFrame, entity: str, columns: dict[str, str], key: str = "record_id") -> DataFrame:
+    """One flat table out of the long form: the keys, and the inlined values by path and type. A value its type cannot hold is null."""
+    names = column_names(list(columns), (key, "node", "parent_entity", "parent"))
     return rows.filter(F.col("entity") == entity).select(
-        key, "node", "parent_entity", "parent", *[F.col("attrs").getItem(c).alias(c.replace(".", "_")) for c in columns]
+        key, "node", "parent_entity", "parent", *[F.col("attrs").getItem(c).try_cast(t).alias(names[c]) for c, t in columns.items()]
     )
+
+
+def flat_tables(df: DataFrame, key: str, json_col: str, root_label: str, listed: bool = False) -> dict[str, DataFrame]:
+    """Every kind of object that has a table of its own → its flat table with typed columns, all out of the schema graph."""
+    graph = schema_graph(df, json_col, root_label, listed)
+    rows = shred(df, key, json_col, root_label, graph, listed=listed)
+    return {singular(label): entity_table(rows, singular(label), graph.columns(label), key) for label in sorted(graph.tables)}
