@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 
 from paperloom.llm import leakage, lookalikes, pii, scans, subjects
@@ -19,6 +18,7 @@ def lines(text):
 
 
 KNOWN = {w: 100 for w in "the optical signal was measured before frost damaged frost-damaged barley crop recovered and noted in pencil title".split()}
+LEX = scans.Lexicon(KNOWN, 1)
 
 
 def test_weighted_distance_prefers_confusions():
@@ -29,7 +29,7 @@ def test_weighted_distance_prefers_confusions():
 
 def test_page_furniture_and_broken_words():
     text = "Annex barley crop\nthe optical sig-\nPage 1 of 2\nAnnex barley crop\nnal was frost-\ndamaged before\nPage 2 of 2"
-    found = {(i, k) for i, k, *_ in scans.record_findings(lines(text), KNOWN) if k != "word"}
+    found = {(i, k) for i, k, *_ in scans.record_findings(lines(text), LEX) if k != "word"}
     assert found == {(0, "running_header"), (3, "running_header"), (2, "page_number"), (6, "page_number"), (1, "broken_word")}
 
 
@@ -46,17 +46,17 @@ def test_damaged_header_of_a_long_record():
 
 def test_numbers_of_a_table_are_no_page_numbers():
     text = "barley crop\n12\n770.88\ntitle\n13\n310.56"
-    assert not [x for x in scans.record_findings(lines(text), KNOWN) if x[1] == "page_number"]
+    assert not [x for x in scans.record_findings(lines(text), LEX) if x[1] == "page_number"]
 
 
 def test_misread_numbers_but_not_codes():
-    out = [x[2] for x in scans.record_findings(lines("in 2O22 and B16407/3 and H2O"), KNOWN | {"h2o": 50}) if x[1] == "misread"]
+    out = [x[2] for x in scans.record_findings(lines("in 2O22 and B16407/3 and H2O"), scans.Lexicon(KNOWN | {"h2o": 50}, 1)) if x[1] == "misread"]
     assert out == ["2O22"]
 
 
 def test_set_text_joins_and_repairs():
     text = "the optical sig-\nnal was rneasured\n\nnoted in pencil"
-    assert scans.set_text(lines(text), KNOWN, {"rneasured": "measured"}) == "the optical signal was measured\n\nnoted in pencil"
+    assert scans.set_text(lines(text), {}, {0}, {"rneasured": "measured"}) == "the optical signal was measured\n\nnoted in pencil"
 
 
 def test_defects_end_to_end(spark):
@@ -69,15 +69,71 @@ def test_defects_end_to_end(spark):
     assert scans.defects(df.limit(0)).count() == 0
 
 
+PARTS = "tbl string, rec_id string, parts array<struct<node:string,page:int,text:string>>"
+
+
+def records(spark, texts):
+    return spark.createDataFrame([("documents", str(i), [("", None, t)]) for i, t in enumerate(texts)], PARTS)
+
+
 @pytest.mark.parametrize("bound", [60_000, 1])
 def test_word_before_decides_at_any_number_of_candidates(spark, monkeypatch, bound):
+    monkeypatch.setattr(scans, "CONTEXT_PAIRS", bound)
+    found = spark.createDataFrame([("documents", "9", "", 0, "xoal", "old", 7)], "tbl string, rec_id string, node string, line_no int, word string, prev string, same_text long")
+    wrong = spark.createDataFrame([("xoal", "coal", 0.3, 20, 1), ("xoal", "goal", 0.3, 40, 1)], "word string, right string, cost double, n long, own long")
+    got = scans.chosen_repairs(records(spark, ["old coal", "the goal", "the goal"]), found, wrong)
+    assert [r["right"] for r in got.collect()] == ["coal"]
+
+
+def test_a_word_with_a_context_of_its_own_is_kept(spark):
+    texts = [f"they paid the tax in month {i}" for i in range(400)] + [f"sent by fax on day {i}" for i in range(20)] + [f"he paid thc tax of year {i}" for i in range(14)]
+    got = {tuple(r)[1:] for r in scans.judged(records(spark, texts)).repairs.select("tbl", "word", "right").distinct().collect()}
+    assert got == {("thc", "the")}
+
+
+@pytest.mark.parametrize("bound", [50, 3])
+def test_the_bound_of_the_frequent_words_changes_nothing(spark, monkeypatch, bound):
+    r = random.Random(9)
+    words = [a + b for a in "bar dol ken lim mor nas".split() for b in "gad vost quil nard temp".split()]
+    texts = []
+    for i in range(160):
+        w = [r.choice(words) for _ in range(40)] + ["2O22", f"under{i % 3}stand"]
+        w[7] = "well-worn" if i % 2 else w[7]
+        if i % 4 == 0:
+            w[9] = w[9].replace("m", "rn")
+        lines_ = [" ".join(w[k : k + 8]) for k in range(0, len(w), 8)]
+        if i % 3 == 0:
+            lines_[1] += " bar-" if i % 2 else " well-"
+            lines_[2] = ("gad " if i % 2 else "worn ") + lines_[2]
+        texts.append("\n".join(lines_) + f"\nPage {i % 9}")
+    df = records(spark, texts)
+    whole = {tuple(x) for x in scans.defects(df).collect()}
+    mended = {tuple(x) for x in scans.repaired(df).collect()}
     monkeypatch.setattr(scans, "COMMON_WORDS", bound)
-    part = "array<struct<node:string,page:int,text:string>>"
-    rows = [("documents", str(i), [("", None, t)]) for i, t in enumerate(["old coal", "the goal", "the goal"])]
-    df = spark.createDataFrame(rows, f"tbl string, rec_id string, parts {part}")
-    found = spark.createDataFrame([("documents", "9", "word", "xoal", "old")], "tbl string, rec_id string, kind string, word string, prev string")
-    wrong = spark.createDataFrame([("xoal", "coal", 0.3, 20), ("xoal", "goal", 0.3, 40)], "word string, right string, cost double, n long")
-    assert [r["right"] for r in scans.chosen_repairs(df, found, wrong).collect()] == ["coal"]
+    assert {tuple(x) for x in scans.defects(df).collect()} == whole
+    assert {tuple(x) for x in scans.repaired(df).collect()} == mended
+    assert {x[4] for x in whole} == {"broken_word", "misread", "page_number"}
+
+
+def test_page_numbers_are_read_in_any_case():
+    for text in ("page 1o", "Seite 2b", "- 1o -"):
+        assert [x[1] for x in scans.record_findings(lines(f"barley crop\n{text}\ncrop recovered"), LEX) if x[1] == "page_number"], text
+
+
+def test_every_header_of_a_long_record():
+    r = random.Random(4)
+    parts = []
+    for page in range(6):
+        parts.append((f"{page}.0", page, "Annual report on barley" if page != 3 else "Annual rep0rt on barley"))
+        parts += [(f"{page}.{k}", page, "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(40)).capitalize()) for k in range(1, 31)]
+    long = scans.record_lines(parts)
+    assert [long[i][0] for i in sorted(scans.furniture(long))] == [f"{p}.0" for p in range(6)]
+
+
+@pytest.mark.parametrize("right,read", [("clause", "c1ause"), ("trial", "trlal"), ("modern", "modem"), ("held", "hcld"), ("disputed", "clisputecl"), ("occurred", "occiirred")])
+def test_misread_words_meet_their_right_ones(right, read):
+    assert set(scans.delete_keys(right)) & set(scans.delete_keys(read))
+    assert scans.weighted_distance(right, read) <= scans.LIMIT
 
 
 def test_copies_of_a_scan_do_not_hide_its_misread_words(spark):
@@ -151,10 +207,87 @@ def test_leakage_against_plain_containment(spark):
     assert leakage.leaked_items(docs(spark, texts).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_banded_alignment():
-    a = lambda s: np.frombuffer(s.encode(), np.uint8)
-    assert leakage.within_edits(a("kitten"), a("xxsittenxx"), 1)
-    assert not leakage.within_edits(a("kitten"), a("xxsizzlexx"), 2)
+def plain_distance(a: bytes, b: bytes) -> int:
+    """Least edits from ``a`` to any part of ``b``."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_alignment_equals_the_plain_table():
+    assert leakage.within_edits(b"kitten", b"xxsittenxx", 1)
+    assert not leakage.within_edits(b"kitten", b"xxsizzlexx", 2)
+    r = random.Random(8)
+    for _ in range(200):
+        a, b = (bytes(r.choice(b"abc") for _ in range(r.randint(0, 14))) for _ in range(2))
+        for k in range(4):
+            assert leakage.within_edits(a, b, k) == (plain_distance(a, b) <= k), (a, b, k)
+
+
+def test_word_offsets_follow_the_fold():
+    words = "corn rind vivid accll is river no 17 vv".split()
+    off, alone = leakage.word_offsets(words), [len(leakage.fold(" ".join(words[:i]))) for i in range(len(words) + 1)]
+    assert off[-1] == alone[-1] and off[0] == 0
+    assert all(0 <= b - a <= 1 for a, b in zip(off, alone))  # one character less where a sequence runs across into the next word
+
+
+@pytest.mark.parametrize("rate", [0.01, 0.03, 0.05, 0.06, 0.08, 0.1, 0.15])
+def test_scattered_edits_against_plain_alignment(rate):
+    r = random.Random(int(rate * 100))
+    letters = "adgjkmnpuvxyz"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randint(3, 8)))
+    items = [(i, " ".join(word() for _ in range(60))) for i in range(6)]
+    index = leakage.ItemIndex(items)
+    texts, pieces = [], []
+    for d in range(60):
+        i = r.randrange(6)
+        words = items[i][1].split()
+        at = r.randrange(0, 61 - 30)
+        piece = list(" ".join(words[at : at + 30]))
+        places = [k for k, c in enumerate(piece) if c != " "]
+        for k in r.sample(places, int(rate * len(places))):
+            piece[k] = r.choice(["", r.choice(letters), piece[k] + r.choice(letters)])
+        texts.append(" ".join(word() for _ in range(20)) + " " + "".join(piece) + " " + " ".join(word() for _ in range(20)))
+        pieces.append(i)
+    folded = [leakage.fold(t) for t in texts]
+    truth = set()
+    for d, i in enumerate(pieces):
+        start, end, edits, _ = index.passages[i]
+        if any(plain_distance(index.streams[i][a:b], folded[d]) <= k for a, b, k in zip(start, end, edits)):
+            truth.add((d, i))
+    assert set(index.search(folded)) == truth
+    assert len(truth) == 60 if rate <= 0.06 else True
+
+
+def test_one_wrong_character_in_every_third_word(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("adgjkmnpuvxyz") for _ in range(r.randint(4, 7))) for _ in range(60)]
+    hurt = [w[:2] + "w" + w[3:] if k % 3 == 0 else w for k, w in enumerate(words)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "ab"), (3, None), (4, "")], "item_id long, text string")
+    got = {tuple(x) for x in leakage.leaked_items(docs(spark, [" ".join(hurt), "nothing of it", "x AB y", None]), items).collect()}
+    assert got == {(0, 1), (2, 2)}
+
+
+def test_items_beyond_the_bound_are_searched_in_parts(spark, monkeypatch):
+    r = random.Random(12)
+    items = [(i, " ".join("".join(r.choice("adgjkmnpuvxyz") for _ in range(5)) for _ in range(40))) for i in range(20)]
+    df = docs(spark, [f"before {t} after" for _, t in items])
+    monkeypatch.setattr(leakage, "ITEM_BOUND", 1000)
+    got = {tuple(x) for x in leakage.leaked_items(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(20)}
+
+
+@pytest.mark.parametrize("cells", [leakage.CELLS, 10])
+def test_counting_and_sorting_bands_agree(monkeypatch, cells):
+    monkeypatch.setattr(leakage, "CELLS", cells)
+    r = random.Random(13)
+    items = [(i, " ".join("".join(r.choice("adgjkm") for _ in range(4)) for _ in range(40))) for i in range(5)]
+    texts = [leakage.fold("zz " + " ".join(items[i % 5][1].split()[i % 9 : 30 + i % 9])) for i in range(30)] + [b"", b"ab"]
+    assert leakage.ItemIndex(items).search(texts) == [(i, i % 5) for i in range(30)]
 
 
 def test_subjects(spark):
