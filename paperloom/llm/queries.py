@@ -47,8 +47,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_masked(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with typed placeholders for personal information."""
-    return pii.masked(load(spark, d, "documents").select("doc_id", "text"), "text")
+    """(tbl, rec_id, text): documents and review payloads with typed placeholders for personal information."""
+    docs = pii.masked(load(spark, d, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), "text"), "text")
+    reviews = load(spark, d, "hitl_reviews").select(F.lit("hitl_reviews").alias("tbl"), F.col("review_id").alias("rec_id"), F.col("payload").alias("text"))
+    return docs.unionByName(pii.masked_json(reviews, "text"))
 
 
 NAMES = ("seller_name", "buyer_name", "invoice_number")
