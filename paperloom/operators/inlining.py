@@ -100,7 +100,7 @@ def _rooted(record, root_label: str, listed: bool):
 _KINDS = {bool: "truth", int: "whole", float: "real", str: "text"}
 
 
-def _walk_edges(record, root_label: str, out: dict) -> None:
+def _walk_edges(record, root_label: str, out: dict, values: bool = True) -> None:
     def note(parent, child, kind):
         slot = out.setdefault((parent, child), [0, 0, 0])
         slot[kind] += 1
@@ -126,13 +126,15 @@ def _walk_edges(record, root_label: str, out: dict) -> None:
                     if kind is None and not (type(v) is list and v and not any(isinstance(x, dict) for x in v)):
                         continue
                     kind = "text"
-                slot = out.get((label, k, kind))
-                if slot is None:
+                if values and (label, k, kind) not in out:
                     out[label, k, kind] = [1]
 
 
-def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = False) -> SchemaGraph:
-    """The label graph of all records. One distributed pass; edges are counted in the tasks before the shuffle."""
+def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = False, values: bool = True) -> SchemaGraph:
+    """The label graph of all records. One distributed pass; edges are counted in the tasks before the shuffle.
+
+    Without ``values`` it holds the labels alone, as far as tables and links need.
+    """
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
@@ -140,7 +142,7 @@ def schema_graph(df: DataFrame, json_col: str, root_label: str, listed: bool = F
             for text in pdf["j"]:
                 record = _rooted(_record(text), root_label, listed)
                 if isinstance(record, (dict, list)):
-                    _walk_edges(record, root_label, seen)
+                    _walk_edges(record, root_label, seen, values)
         edges_ = [(*x, None, *n) for x, n in seen.items() if len(x) == 2]
         yield pd.DataFrame(edges_ + [(*x, 0, 0, 0) for x in seen if len(x) == 3], columns=["parent", "child", "kind", "lone", "repeated", "encoded"])
 
@@ -189,7 +191,7 @@ def singular(label: str) -> str:
     return label[:-1] if len(label) > 3 and label.endswith("s") and not label.endswith("ss") else label
 
 
-def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool, out: list) -> None:
+def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool | frozenset[str], out: list, entities: frozenset[str] | None = None) -> None:
     """Rows (label, node, parent label, parent node, attributes) of one record, without recursion on the stack."""
     stack: list = []
 
@@ -213,7 +215,7 @@ def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool, out: l
                     enter(k, v, label, node, counters)
                 elif isinstance(v, dict):
                     todo.append((v, f"{path}{k}."))
-                elif attributes and v is not None:
+                elif attributes and v is not None and (attributes is True or path + k in attributes):
                     attrs[path + k] = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     if isinstance(record, dict):
@@ -227,16 +229,18 @@ def _shred(record, root_label: str, graph: SchemaGraph, attributes: bool, out: l
         label, obj, parent_label, parent_node, node = stack.pop()
         attrs = {}
         inline(obj, "", attrs, label, node, {})
-        out.append((label, node, parent_label, parent_node, attrs if attributes else None))
+        if entities is None or label in entities:
+            out.append((label, node, parent_label, parent_node, attrs if attributes else None))
 
 
-def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool = True, listed: bool = False) -> DataFrame:
+def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: SchemaGraph | None = None, attributes: bool | frozenset[str] = True, listed: bool = False, entities: frozenset[str] | None = None) -> DataFrame:
     """All objects of all tables in long form: key, entity, node, parent_entity, parent, attrs.
 
     (key, node) of entity is its primary key and (key, parent) of parent_entity the foreign key. Narrow: one pass over
-    the records, no shuffle. ``attributes=False`` leaves the inlined values out where only the links are wanted.
+    the records, no shuffle. ``attributes=False`` leaves the inlined values out where only the links are wanted, a set of paths all but
+    those; ``entities`` names the labels whose rows are wanted.
     """
-    graph = graph or schema_graph(df, json_col, root_label, listed)
+    graph = graph or schema_graph(df, json_col, root_label, listed, values=False)
     kind = df.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +252,7 @@ def shred(df: DataFrame, key: str, json_col: str, root_label: str, graph: Schema
                 if not isinstance(record, (dict, list)):
                     continue
                 found: list = []
-                _shred(record, root_label, graph, attributes, found)
+                _shred(record, root_label, graph, attributes, found, entities)
                 buffer += [(k, singular(e) if e else "record", n, p and singular(p), q, a) for e, n, p, q, a in found]
                 if len(buffer) > 20_000:
                     yield pd.DataFrame(buffer, columns=columns)
