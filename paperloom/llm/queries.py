@@ -70,7 +70,7 @@ def scanned_records(spark: SparkSession, d: str) -> DataFrame:
         F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"),
         F.array(F.struct(F.lit("").alias("node"), F.lit(None).cast("int").alias("page"), F.col("text"))).cast(part).alias("parts"),
     )
-    rows = shred(load(spark, d, "envelopes").select("record_id", "envelope"), "record_id", "envelope", "pages")
+    rows = shred(load(spark, d, "envelopes").select("record_id", "envelope"), "record_id", "envelope", "pages", attributes=frozenset(["payload.text"]), entities=frozenset(["blocks"]))
     text = F.col("attrs").getItem("payload.text")
     at = F.split("node", "[.]")
     blocks = rows.filter((F.col("entity") == "block") & (F.length(text) > 0)).select(

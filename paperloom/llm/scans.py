@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .leakage import _BEYOND, _plain
 from .lookalikes import CYRILLIC, GREEK
 
 #: Confusion pairs of recognition, right to read (fixed values), all at the cost of CONFUSED.
@@ -88,7 +89,7 @@ _NO_LETTER_NOR_DIGIT = _NO_LETTER + b"0123456789"
 def folded(text: str, digits: bool = True) -> bytes:
     """Letters (and digits) of a word or line with the usual recognition confusions falling together."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_ALIKE))
+        text = _BEYOND.sub(_plain, text)
     s = text.lower().encode("ascii", "ignore").translate(_SINGLES, _NO_LETTER) if digits else text.lower().encode("ascii", "ignore").translate(None, _NO_LETTER_NOR_DIGIT).translate(_SINGLES)
     for a, b in _PAIRS:
         s = s.replace(a, b)
@@ -345,8 +346,6 @@ def furniture(lines: list[tuple[str, int, int | None, str]]) -> dict[int, str]:
             first = t[:1] if t[:1].isalnum() else t.lstrip("«“\"'([")[:1]
             if not first or first.islower():
                 continue
-        if _carried(t) or _DIGIT.search(t) and (_AMOUNT.search(t) or _TABLE.search(t)):
-            continue
         tail = _TAIL_NUMBER.sub("", t) if len(t) > 16 and (t[-1].isdigit() or t[-1] in "lIO|ZSB])-—–页") else t
         key = folded(tail, False) or re.sub(r"[\W\d]", "", tail.lower()).encode()
         if len(key) >= 5:
@@ -376,6 +375,9 @@ def furniture(lines: list[tuple[str, int, int | None, str]]) -> dict[int, str]:
                 middles.setdefault(c, []).append(k)
         merged.setdefault(to, []).extend(groups[k])
     for own in merged.values():
+        if len(own) < 2:
+            continue
+        own = [i for i in own if not (_carried(text[i]) or _DIGIT.search(text[i]) and (_AMOUNT.search(text[i]) or _TABLE.search(text[i])))]
         if len(own) < 2:
             continue
         if page[own[0]] is not None:
@@ -608,14 +610,19 @@ def raw_findings(records: DataFrame, lex: Lexicon) -> DataFrame:
         own = Lexicon(*sent.value)
         for pdf in batches:
             out = []
-            for tbl, rec, parts in zip(pdf["tbl"], pdf["rec_id"], pdf["parts"]):
+            for tbl, rec, text, parts in zip(pdf["tbl"], pdf["rec_id"], pdf["text"], pdf["parts"]):
+                if text is not None:
+                    parts = [{"node": "", "page": None, "text": text}]
                 lines = _lines_of(parts)
                 found = record_findings(lines, own, usual)
                 mark = _mark(parts) if found else 0
                 out += [(tbl, rec, lines[f.line][0], lines[f.line][1], *f[1:], mark) for f in found]
             yield pd.DataFrame(out, columns=["tbl", "rec_id", "node", "line_no", "kind", "word", "prev", "given", "broken", "same_text"])
 
-    return records.mapInPandas(rows, FOUND)
+    # a record of one plain text travels as that text
+    lone = (F.size("parts") == 1) & (F.col("parts")[0]["node"] == "") & F.col("parts")[0]["page"].isNull()
+    sent_rows = records.select("tbl", "rec_id", F.when(lone, F.col("parts")[0]["text"]).alias("text"), F.when(~lone, F.col("parts")).alias("parts"))
+    return sent_rows.filter("text is not null or parts is not null").mapInPandas(rows, FOUND)
 
 
 def settled_findings(found: DataFrame, right: DataFrame, lex: Lexicon) -> DataFrame:
