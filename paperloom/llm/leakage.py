@@ -21,6 +21,7 @@ either side gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -48,9 +49,22 @@ _ALIKE = {ord(k): v for k, v in {**CYRILLIC, **GREEK}.items()}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+
+
+def _plain(m: re.Match) -> str:
+    return _plain_run(m[0])
+
+
+@functools.lru_cache(1 << 16)
+def _plain_run(run: str) -> str:
+    """What characters beyond ASCII stand for, as far as that is ASCII."""
+    return unicodedata.normalize("NFKD", run.translate(_ALIKE)).encode("ascii", "ignore").decode()
+
+
 def _letters(text: str) -> bytes:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_ALIKE))
+        text = _BEYOND.sub(_plain, text)
     return text.lower().encode("ascii", "ignore").translate(None, _DROP)
 
 
