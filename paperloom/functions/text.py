@@ -1,27 +1,9 @@
-"""Column functions over text of extracted documents."""
+"""Column functions over text of extracted documents under their short names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ..operators.fields import page_list
+from ..operators.tables import header_form as header_key
+from .strings import sha12 as short_hash
 
-
-def header_key(c: Column) -> Column:
-    """A table header for comparison: trimmed, lower case, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-
-
-def page_list(spec: Column, pages: Column) -> Column:
-    """Pages of a specification such as ``first``, ``all`` or ``1-3,7`` within 1..pages, sorted and distinct."""
-    one = lambda p: F.try_element_at(F.split(p, "-"), F.lit(1)).try_cast("int")
-    last = lambda p: F.coalesce(F.try_element_at(F.split(p, "-"), F.lit(2)).try_cast("int"), one(p))
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: one(p).isNotNull() & (last(p) >= one(p)))
-    listed = F.flatten(F.transform(parts, lambda p: F.sequence(F.greatest(one(p), F.lit(1)), F.greatest(F.least(last(p), pages), F.greatest(one(p), F.lit(1))))))
-    every = F.sequence(F.lit(1), F.greatest(pages, F.lit(1)))
-    picked = F.when(F.lower(spec) == "all", every).when(F.lower(spec) == "first", F.array(F.lit(1))).otherwise(F.array_sort(F.array_distinct(listed)))
-    return F.filter(picked, lambda p: p <= pages)
-
-
-def short_hash(c: Column) -> Column:
-    """The first 12 hexadecimal digits of the SHA-256."""
-    return F.left(F.sha2(c, 256), F.lit(12))
+__all__ = ["header_key", "page_list", "short_hash"]
