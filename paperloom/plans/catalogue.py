@@ -1,4 +1,4 @@
-"""Queries of the document model as Spark SQL with an independent DuckDB twin each.
+"""Queries of the document model as Spark SQL with a DuckDB twin each, for what plain SQL says best.
 
 Spatial joins carry the document (and line) as equi-keys, so that they plan as hash joins with a residual range filter.
 """
@@ -17,36 +17,6 @@ def both(name: str, spark: str, duck: str | None = None) -> None:
 
 
 # layout: types, views, order, quality
-both(
-    "q_type_counts_rollup",
-    f"WITH {BLOCKS_SPARK} SELECT coalesce(CAST(doc AS STRING), '*') AS doc, coalesce(type, '*') AS type, count(*) AS n FROM blocks GROUP BY GROUPING SETS ((doc, type), (type), ())",
-    f"WITH {BLOCKS_DUCK} SELECT coalesce(CAST(doc AS VARCHAR), '*') AS doc, coalesce(type, '*') AS type, count(*) AS n FROM blocks GROUP BY GROUPING SETS ((doc, type), (type), ())",
-)
-QUALITY = """SELECT doc, count(*) AS n_blocks, {c}(type = 'table') AS n_tables, {c}(text = '') AS n_empty, {c}(confidence IS NULL) AS n_unmeasured, {c}(coalesce(confidence, 0) > 0 AND confidence < 0.5) AS n_low,
-  round(avg(CASE WHEN confidence > 0 THEN confidence END), 6) AS mean_confidence FROM blocks GROUP BY doc"""
-both("q_quality_layer", f"WITH {BLOCKS_SPARK} " + QUALITY.format(c="count_if"), f"WITH {BLOCKS_DUCK} " + QUALITY.format(c="count_if"))
-both(
-    "q_fused_status",
-    f"WITH {BLOCKS_SPARK} SELECT status, strategy, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM (SELECT *, CASE WHEN type = 'table' THEN 'skip_table' WHEN type = 'figure_title' THEN 'extracted' WHEN text = '' THEN 'no_ocr_empty' WHEN type = 'text' THEN 'no_ocr' ELSE 'passthrough' END AS status, CASE WHEN type = 'table' THEN 'keep_structure' WHEN type = 'text' THEN 'no_ocr' ELSE 'replace_text' END AS strategy FROM blocks) GROUP BY status, strategy",
-    f"WITH {BLOCKS_DUCK}, s AS (SELECT *, CASE WHEN type = 'table' THEN 'skip_table' WHEN type = 'figure_title' THEN 'extracted' WHEN text = '' THEN 'no_ocr_empty' WHEN type = 'text' THEN 'no_ocr' ELSE 'passthrough' END AS status, CASE WHEN type = 'table' THEN 'keep_structure' WHEN type = 'text' THEN 'no_ocr' ELSE 'replace_text' END AS strategy FROM blocks) SELECT status, strategy, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM s GROUP BY ALL",
-)
-ORDER = "SELECT doc, idx, {rn} OVER (PARTITION BY doc ORDER BY CASE WHEN eo IS NULL THEN 1 ELSE 0 END, eo, y0, x0) AS reading_order FROM (SELECT *, CASE WHEN type IN ('title', 'text') THEN idx END AS eo FROM blocks) b"
-both("q_reading_order", f"WITH {BLOCKS_SPARK} " + ORDER.format(rn="row_number()"), f"WITH {BLOCKS_DUCK} " + ORDER.format(rn="row_number()"))
-VIEW = "SELECT doc, idx, CASE WHEN eo IS NOT NULL THEN eo ELSE row_number() OVER w - 1 + coalesce(sum(CASE WHEN eo IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS view_order FROM (SELECT *, CASE WHEN type <> 'figure_title' THEN idx END AS eo FROM blocks) b WINDOW w AS (PARTITION BY doc ORDER BY idx)"
-both("q_view_counter", f"WITH {BLOCKS_SPARK} SELECT doc, idx, CAST(view_order AS BIGINT) AS view_order FROM ({VIEW})", f"WITH {BLOCKS_DUCK} SELECT doc, idx, CAST(view_order AS BIGINT) AS view_order FROM ({VIEW})")
-both(
-    "q_page_content",
-    f"WITH {BLOCKS_SPARK} SELECT doc, sha2(listagg(text, '|') WITHIN GROUP (ORDER BY idx), 256) AS content, count(*) AS n FROM blocks WHERE type IN ('title', 'text') GROUP BY doc",
-    f"WITH {BLOCKS_DUCK} SELECT doc, sha256(string_agg(text, '|' ORDER BY idx)) AS content, count(*) AS n FROM blocks WHERE type IN ('title', 'text') GROUP BY doc",
-)
-BODY = "SELECT doc, count(*) AS n_body, sum(length(text)) AS n_chars FROM blocks WHERE type = 'text' AND text <> '' GROUP BY doc HAVING count(*) >= 8 AND sum(length(text)) >= 500"
-both("q_body_pages", f"WITH {BLOCKS_SPARK} {BODY}", f"WITH {BLOCKS_DUCK} {BODY}")
-CONTAIN = """SELECT a.doc, a.idx AS outer_idx, b.idx AS inner_idx FROM (SELECT doc, idx, x0, y0 - 25 AS y0, x1, y1 + 25 AS y1 FROM blocks WHERE type = 'table') a JOIN blocks b ON a.doc = b.doc AND a.idx <> b.idx
-  AND b.x0 >= a.x0 - 10 AND b.y0 >= a.y0 - 10 AND b.x1 <= a.x1 + 10 AND b.y1 <= a.y1 + 10 WHERE b.x1 > b.x0"""
-both("q_containment_pairs", f"WITH {BLOCKS_SPARK} {CONTAIN}", f"WITH {BLOCKS_DUCK} {CONTAIN}")
-SPLIT = """SELECT a.doc, a.idx AS i, b.idx AS j, CASE WHEN least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.9 * least(a.x1 - a.x0, b.x1 - b.x0) THEN 'vertical' ELSE 'horizontal' END AS kind
-  FROM blocks a JOIN blocks b ON a.doc = b.doc AND a.idx < b.idx AND b.idx - a.idx <= 9 WHERE a.type = 'figure_title' AND b.type = 'figure_title' AND a.text <> '' AND b.text <> ''"""
-both("q_split_figures", f"WITH {BLOCKS_SPARK} {SPLIT}", f"WITH {BLOCKS_DUCK} {SPLIT}")
 # words: clusters, groups, n-grams, boxes
 ROWS = """SELECT doc, cluster, count(*) AS n_words, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(jump) OVER (PARTITION BY doc ORDER BY y0, line, word_no ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc ORDER BY y0, line, word_no) > 3 THEN 1 ELSE 0 END AS jump FROM words) a) b GROUP BY doc, cluster"""
 both("q_line_clusters", f"WITH {WORDS_SPARK} SELECT doc, CAST(cluster AS BIGINT) AS cluster, n_words, x0, x1 FROM ({ROWS})", f"WITH {WORDS_DUCK} SELECT doc, CAST(cluster AS BIGINT) AS cluster, n_words, x0, x1 FROM ({ROWS})")
@@ -65,27 +35,7 @@ both("q_words_outside_siblings", f"WITH {WORDS_SPARK}, {BOXES} {ANTI}", f"WITH {
 NEAR = "SELECT doc, line, word_no, {f}(col, dist) AS col FROM (SELECT w.doc, w.line, w.word_no, c.col, abs((w.x0 + w.x1) / 2 - c.cx) + c.col / 1000000.0 AS dist FROM words w JOIN (SELECT 0 AS col, 60.0 AS cx UNION ALL SELECT 1, 180.0 UNION ALL SELECT 2, 330.0) c ON abs((w.x0 + w.x1) / 2 - c.cx) <= 80) t GROUP BY doc, line, word_no"
 both("q_nearest_column", f"WITH {WORDS_SPARK} " + NEAR.format(f="min_by"), f"WITH {WORDS_DUCK} " + NEAR.format(f="arg_min"))
 # tables: candidates, confusion gate, funnel, confidence, mapping
-CAND = r"SELECT col_no, count(*) AS n, {c}(length(ocr) <= 40 AND {m}) AS n_candidates FROM cells GROUP BY col_no"
-both("q_cell_candidates", f"WITH {CELLS_SPARK} " + CAND.format(c="count_if", m=r"ocr RLIKE '^[-+]?[0-9][0-9.,]*%?$'"), f"WITH {CELLS_DUCK} " + CAND.format(c="count_if", m=r"regexp_matches(ocr, '^[-+]?[0-9][0-9.,]*%?$')"))
-FUNNEL = """SELECT tbl, count(*) AS candidates, sum(CASE WHEN verdict = 'confirmed' THEN 1 ELSE 0 END) AS confirmed, sum(CASE WHEN verdict = 'backfilled' THEN 1 ELSE 0 END) AS backfilled, sum(CASE WHEN verdict = 'mismatch' THEN 1 ELSE 0 END) AS mismatch
-  FROM (SELECT tbl, CASE WHEN ocr = layer THEN 'confirmed' WHEN length(ocr) = length(layer) AND translate(ocr, 'OlIS', '0115') = layer AND {r} <= CASE WHEN length(layer) <= 6 THEN 1 ELSE 2 END THEN 'backfilled' ELSE 'mismatch' END AS verdict FROM cells) v GROUP BY tbl"""
-both("q_backfill_funnel", f"WITH {CELLS_SPARK} " + FUNNEL.format(r="length(regexp_replace(ocr, '[^OlIS]', ''))"), f"WITH {CELLS_DUCK} SELECT tbl, candidates, CAST(confirmed AS BIGINT) AS confirmed, CAST(backfilled AS BIGINT) AS backfilled, CAST(mismatch AS BIGINT) AS mismatch FROM (" + FUNNEL.format(r="length(regexp_replace(ocr, '[^OlIS]', '', 'g'))") + ")")
-MINC = "SELECT tbl, row_no, col_no, min(score) AS confidence, count(*) AS n FROM (SELECT tbl, row_no, col_no, ((tbl * 3 + row_no * 5 + col_no * 7 + k) % 100) / {h} AS score FROM cells, (SELECT 0 AS k UNION ALL SELECT 31 UNION ALL SELECT 57) e WHERE length(layer) > k / 30) s GROUP BY tbl, row_no, col_no"
-both("q_cell_min_confidence", f"WITH {CELLS_SPARK} " + MINC.format(h="100.0D"), f"WITH {CELLS_DUCK} " + MINC.format(h="100.0::DOUBLE"))
-both(
-    "q_map_custom_schema",
-    f"WITH {CELLS_SPARK}, aliases AS (SELECT * FROM VALUES (0, 'quantity'), (1, 'amount'), (2, 'discount') AS a(col_no, field)) SELECT * FROM (SELECT tbl, row_no, field, layer FROM cells JOIN aliases USING (col_no)) PIVOT (max(layer) FOR field IN ('quantity', 'amount', 'discount'))",
-    f"WITH {CELLS_DUCK}, aliases AS (SELECT * FROM (VALUES (0, 'quantity'), (1, 'amount'), (2, 'discount')) AS a(col_no, field)) SELECT tbl, row_no, max(layer) FILTER (field = 'quantity') AS quantity, max(layer) FILTER (field = 'amount') AS amount, max(layer) FILTER (field = 'discount') AS discount FROM cells JOIN aliases USING (col_no) GROUP BY tbl, row_no",
-)
-PROOF = "SELECT coalesce(CAST(tbl AS {S}), '*') AS tbl, coalesce(CAST(col_no AS {S}), '*') AS col_no, count(*) AS n, count_if(ocr = layer) AS n_equal FROM cells GROUP BY ROLLUP (tbl, col_no)"
-both("q_proof_report", f"WITH {CELLS_SPARK} " + PROOF.format(S="STRING"), f"WITH {CELLS_DUCK} " + PROOF.format(S="VARCHAR"))
-GT = "SELECT tbl, count(*) AS total, count_if(norm(ocr) = norm(layer)) AS matched, round(count_if(norm(ocr) = norm(layer)) * 1.0 / count(*), 4) AS accuracy FROM cells GROUP BY tbl"
-both("q_gt_cells", f"WITH {CELLS_SPARK} " + GT.replace("norm(", "lower(").replace("* 1.0", "* 1.0D"), f"WITH {CELLS_DUCK} " + GT.replace("norm(", "lower(").replace("* 1.0", "* 1.0::DOUBLE"))
 # batches and tasks
-BATCH = """SELECT batch_id, count(*) AS total, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed, round(100.0 * count_if(status IN ('completed', 'failed')) / count(*), 2) AS progress,
-  CASE WHEN count(*) = count_if(status = 'failed') THEN 'failed' WHEN count_if(status IN ('pending', 'processing')) > 0 THEN 'processing' ELSE 'completed' END AS final_status FROM (SELECT DISTINCT batch_id, task_id, status FROM batch_tasks) t GROUP BY batch_id"""
-both("q_batch_summary", BATCH.replace("100.0 *", "100.0D *"), BATCH.replace("100.0 *", "100.0::DOUBLE *"))
-both("q_failures", "SELECT DISTINCT batch_id, task_id, file_name, left(error, 400) AS error FROM batch_tasks WHERE status IN ('failed', 'skipped')")
 both(
     "q_summary_unpivot",
     "SELECT metric, value FROM (SELECT count(*) AS total, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed FROM batch_tasks) UNPIVOT (value FOR metric IN (total, completed, failed))",
@@ -96,25 +46,8 @@ both(
     "SELECT DISTINCT task_id, get_json_object(result, '$.kie_fields.invoice_number') AS invoice_number, get_json_object(result, '$.kie_fields.total') AS total, get_json_object(result, '$.document_type') AS document_type FROM batch_tasks WHERE status = 'completed' AND result IS NOT NULL",
     "SELECT DISTINCT task_id, json_extract_string(result, '$.kie_fields.invoice_number') AS invoice_number, json_extract_string(result, '$.kie_fields.total') AS total, json_extract_string(result, '$.document_type') AS document_type FROM batch_tasks WHERE status = 'completed' AND result IS NOT NULL",
 )
-both(
-    "q_validate_fields",
-    r"SELECT field, count(*) AS n, count_if(value RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS iso, count_if(value RLIKE '^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}$') AS dmy, count_if(value = '') AS blank FROM (SELECT 'invoice_date' AS field, coalesce(get_json_object(result, '$.kie_fields.invoice_date'), '') AS value FROM batch_tasks WHERE result IS NOT NULL) GROUP BY field",
-    r"SELECT field, count(*) AS n, count_if(regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) AS iso, count_if(regexp_matches(value, '^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}$')) AS dmy, count_if(value = '') AS blank FROM (SELECT 'invoice_date' AS field, coalesce(json_extract_string(result, '$.kie_fields.invoice_date'), '') AS value FROM batch_tasks WHERE result IS NOT NULL) GROUP BY field",
-)
-FILL = "SELECT task_id, round((CASE WHEN coalesce(a, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(b, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(c, '') <> '' THEN 1 ELSE 0 END) / {t}, 4) AS fill FROM (SELECT DISTINCT task_id, {g}(result, '$.kie_fields.seller_name') AS a, {g}(result, '$.kie_fields.buyer_name') AS b, {g}(result, '$.kie_fields.total') AS c FROM batch_tasks WHERE result IS NOT NULL) f"
-both("q_fill_confidence", FILL.format(g="get_json_object", t="3.0D"), FILL.format(g="json_extract_string", t="3.0::DOUBLE"))
 NUMS = "SELECT DISTINCT task_id, {n} AS total FROM (SELECT task_id, {g}(result, '$.kie_fields.total') AS t FROM batch_tasks WHERE result IS NOT NULL) x WHERE t IS NOT NULL"
 both("q_typed_numbers", NUMS.format(g="get_json_object", n="try_cast(replace(regexp_extract(t, '[0-9][0-9,]*([.][0-9]+)?', 0), ',', '') AS DOUBLE)"), NUMS.format(g="json_extract_string", n="try_cast(replace(regexp_extract(t, '[0-9][0-9,]*([.][0-9]+)?', 0), ',', '') AS DOUBLE)"))
-CUR = "SELECT currency, count(*) AS n FROM (SELECT CASE WHEN t LIKE '%$%' THEN 'USD' WHEN t LIKE '%€%' THEN 'EUR' WHEN t LIKE '%£%' THEN 'GBP' WHEN t LIKE '%¥%' THEN 'CNY' ELSE '' END AS currency FROM (SELECT {g}(result, '$.kie_fields.total') AS t FROM batch_tasks WHERE result IS NOT NULL) x WHERE t IS NOT NULL) y GROUP BY currency"
-both("q_currency", CUR.format(g="get_json_object"), CUR.format(g="json_extract_string"))
-DATES = "SELECT task_id, min({d}) AS iso FROM (SELECT task_id, {g}(result, '$.kie_fields.invoice_date') AS v FROM batch_tasks WHERE result IS NOT NULL) x WHERE v IS NOT NULL GROUP BY task_id"
-both(
-    "q_typed_dates",
-    DATES.format(g="get_json_object", d="date_format(coalesce(try_to_timestamp(v, 'yyyy-MM-dd'), try_to_timestamp(v, 'd/M/yyyy'), try_to_timestamp(v, 'd.M.yyyy'), try_to_timestamp(v, 'd MMMM yyyy')), 'yyyy-MM-dd')"),
-    DATES.format(g="json_extract_string", d="strftime(coalesce(try_strptime(v, '%Y-%m-%d'), try_strptime(v, '%d/%m/%Y'), try_strptime(v, '%d.%m.%Y'), try_strptime(v, '%d %B %Y')), '%Y-%m-%d')"),
-)
-both("q_dedupe_first_wins", "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) t WHERE rn = 1")
-both("q_retention", "SELECT batch_id, record_id FROM (SELECT batch_id, record_id, row_number() OVER (PARTITION BY batch_id ORDER BY record_id DESC) AS rn FROM batch_jobs) t WHERE rn = 1")
 NAMES_ = "SELECT task_id, CASE WHEN n = 1 THEN concat(stem, '.csv') ELSE concat(stem, '_', CAST(k AS {S}), '.csv') END AS file FROM (SELECT task_id, stem, count(*) OVER (PARTITION BY stem) AS n, row_number() OVER (PARTITION BY stem ORDER BY task_id) AS k FROM (SELECT DISTINCT task_id, {r} AS stem FROM batch_tasks WHERE status = 'completed') a) b"
 both("q_order_filenames", NAMES_.format(S="STRING", r="regexp_replace(file_name, '[.][a-z]+$', '')"), NAMES_.format(S="VARCHAR", r="regexp_replace(file_name, '[.][a-z]+$', '')"))
 HITL = "SELECT status, reason, count(*) AS n, count(DISTINCT task_id) AS tasks FROM (SELECT DISTINCT review_id, task_id, status, reason FROM hitl_reviews) t GROUP BY status, reason"
@@ -133,27 +66,14 @@ both(
     r"SELECT doc_id, regexp_count(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b') AS n_ssn, regexp_count(text, '\\b[0-9]{2}-[0-9]{7}\\b') AS n_ein, regexp_count(text, '\\b[0-9]{9}\\b') AS n_nine FROM documents",
     r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) AS INTEGER) AS n_ssn, CAST(len(regexp_extract_all(text, '\b[0-9]{2}-[0-9]{7}\b')) AS INTEGER) AS n_ein, CAST(len(regexp_extract_all(text, '\b[0-9]{9}\b')) AS INTEGER) AS n_nine FROM documents",
 )
-KEYS = "(VALUES (0, 'invoice', 'invoice'), (0, 'invoice', 'subtotal'), (1, 'bank_statement', 'bank statement'), (2, 'receipt', 'receipt'), (3, 'contract', 'clause')) AS k(ord, kind, word)"
-CLS = "SELECT doc_id, {f} AS kind, sum(hit) AS hits FROM (SELECT d.doc_id, k.ord, k.kind, sum(CASE WHEN {i} > 0 THEN 1 ELSE 0 END) AS hit FROM documents d CROSS JOIN {k} GROUP BY d.doc_id, k.ord, k.kind) s GROUP BY doc_id"
-both("q_classify_documents", CLS.format(f="max_by(kind, struct(hit, -ord))", i="instr(lower(d.text), k.word)", k="(SELECT * FROM VALUES (0, 'invoice', 'invoice'), (0, 'invoice', 'subtotal'), (1, 'bank_statement', 'bank statement'), (2, 'receipt', 'receipt'), (3, 'contract', 'clause') AS v(ord, kind, word)) k"), "SELECT doc_id, kind, CAST(hits AS BIGINT) AS hits FROM (" + CLS.format(f="arg_max(kind, hit * 10 - ord)", i="instr(lower(d.text), k.word)", k=KEYS) + ")")
-RULES = "SELECT p_partkey, {f}(rule, ord) AS rule FROM part JOIN {k} ON (r.mode = 'contains' AND instr(lower(p_type), r.word) > 0) OR (r.mode = 'prefix' AND lower(p_type) LIKE concat(r.word, '%')) OR (r.mode = 'exact' AND lower(p_type) = r.word) GROUP BY p_partkey"
-RV = "(1, 'prefix', 'standard', 'S'), (2, 'contains', 'brass', 'B'), (3, 'contains', 'steel', 'T'), (4, 'prefix', 'promo', 'P'), (5, 'exact', 'economy anodized steel', 'X')"
-both("q_rules_last_match", RULES.format(f="max_by", k=f"(SELECT * FROM VALUES {RV} AS v(ord, mode, word, rule)) r"), RULES.format(f="arg_max", k=f"(VALUES {RV}) AS r(ord, mode, word, rule)"))
 both(
     "q_stratified_alloc",
     "SELECT source, n, CAST(base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END AS BIGINT) AS take FROM (SELECT *, row_number() OVER (ORDER BY rem DESC, source) AS rk, 100 - sum(base) OVER () AS left_over FROM (SELECT source, n, (100 * n) DIV total AS base, (100 * n) % total AS rem FROM (SELECT coalesce(source, '?') AS source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY 1)))",
     "SELECT source, n, CAST(base + CASE WHEN rk <= left_over THEN 1 ELSE 0 END AS BIGINT) AS take FROM (SELECT *, row_number() OVER (ORDER BY rem DESC, source) AS rk, 100 - sum(base) OVER () AS left_over FROM (SELECT source, n, (100 * n) // total AS base, (100 * n) % total AS rem FROM (SELECT coalesce(source, '?') AS source, count(*) AS n, sum(count(*)) OVER () AS total FROM documents GROUP BY 1)))",
 )
-SAFE = "SELECT DISTINCT c_mktsegment, CASE WHEN left(v, 1) IN ('=', '+', '-', '@') AND try_cast(replace(v, ',', '') AS DOUBLE) IS NULL THEN concat('''', v) ELSE v END AS safe FROM (SELECT c_mktsegment, concat(CASE WHEN c_custkey % 3 = 0 THEN '=' WHEN c_custkey % 3 = 1 THEN '-' ELSE '' END, c_mktsegment) AS v FROM customer) t"
-both("q_excel_safe", SAFE.replace("concat('''', v)", "concat(chr(39), v)"))
 both("q_quote_hash", "SELECT item_id, left(sha2(lower(text), 256), 12) AS quote_hash, length(text) AS n FROM eval_items", "SELECT item_id, left(sha256(lower(text)), 12) AS quote_hash, length(text) AS n FROM eval_items")
-HEDGE = "SELECT item_id, {c} AS n_hedges FROM eval_items"
 both("q_hedge_counts", "SELECT item_id, regexp_count(lower(text), '\\\\b(may|might|could|suggests?|appears?|likely|possibly)\\\\b') AS n_hedges FROM eval_items", "SELECT item_id, CAST(len(regexp_extract_all(lower(text), '\\b(may|might|could|suggests?|appears?|likely|possibly)\\b')) AS INTEGER) AS n_hedges FROM eval_items")
-RECALL = "SELECT item_id, count(*) AS printed, count_if(d.w IS NULL) AS missing FROM (SELECT DISTINCT item_id, {e} AS w FROM eval_items) i LEFT JOIN (SELECT DISTINCT {x} AS w FROM documents) d ON i.w = d.w WHERE i.w <> '' GROUP BY item_id"
-both("q_text_recall", RECALL.format(e="explode(split(text, ' '))", x="explode(split(text, ' '))"), RECALL.format(e="unnest(string_split(text, ' '))", x="unnest(string_split(text, ' '))"))
 both("q_mapped_rows_upsert", "SELECT o_orderkey AS task_id, 'new' AS version, o_totalprice AS total FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o.o_orderkey, 'old', o.o_totalprice FROM orders o LEFT ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) n ON o.o_orderkey = n.o_orderkey", "SELECT o_orderkey AS task_id, 'new' AS version, o_totalprice AS total FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o.o_orderkey, 'old', o.o_totalprice FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderkey % 3 = 0 AND n.o_orderkey = o.o_orderkey)")
-MERGE = "SELECT batch_id, {f} AS last_document, count(*) AS n FROM (SELECT DISTINCT batch_id, task_id, file_name FROM batch_tasks WHERE batch_id IS NOT NULL) t GROUP BY batch_id"
-both("q_merge_pages", MERGE.format(f="max_by(file_name, task_id) FILTER (WHERE file_name <> '')"), MERGE.format(f="arg_max(file_name, task_id) FILTER (WHERE file_name <> '')"))
 both("q_validation_by_rule", "SELECT d.doc_type, count(*) AS n, count_if(r.least IS NULL OR d.n_chars >= r.least) AS passed FROM documents d LEFT JOIN (SELECT * FROM VALUES ('invoice', 300), ('letter', 600) AS v(kind, least)) r ON d.doc_type = r.kind GROUP BY d.doc_type", "SELECT d.doc_type, count(*) AS n, count_if(r.least IS NULL OR d.n_chars >= r.least) AS passed FROM documents d LEFT JOIN (VALUES ('invoice', 300), ('letter', 600)) AS r(kind, least) ON d.doc_type = r.kind GROUP BY d.doc_type")
 
 QUERIES = {name: partial(lambda spark, d, sql: run(spark, d, sql), sql=pair[0]) for name, pair in PAIRS.items()}
