@@ -8,7 +8,7 @@ with its own in all other components. Records with equal canonical components ar
 classes are joined on (house, unit, type, street) and then decided by explicit rules for missing components:
 
 - both cities known: they must be equal, or the postal codes must be equal where one city is a misspelling of the other;
-- one city missing: the postal codes must be equal;
+- one city missing: the postal codes must be equal, or its postal code is one whose records nearly all name the other's city;
 - the place (city and postal code) missing on one side: they are one location only if all classes with the same house,
   unit, type and street that do name a place name the same one.
 
@@ -39,8 +39,12 @@ STREET_TYPES = {
 }
 #: Abbreviated words inside street names (fixed values of the locale dictionary).
 STREET_WORDS = {"grn": "green", "hl": "hill", "pk": "park", "grv": "grove", "gdn": "garden", "gdns": "gardens", "mt": "mount", "ft": "fort", "n": "north", "s": "south", "e": "east", "w": "west"}
-#: Names of states or regions that may stand as a part of their own (fixed values of the locale dictionary).
-STATES = {"highfell", "eastmark", "norwall", "lowmere", "tarren", "westrey"}
+#: Street types that stand before the name, by language (fixed values of the locale dictionary): French, Spanish, Italian, Portuguese.
+LEADING_TYPES = {"rue": "rue", "chemin": "chemin", "impasse": "impasse", "quai": "quai", "allée": "allee", "calle": "calle", "paseo": "paseo", "avenida": "avenida", "via": "via", "viale": "viale", "piazza": "piazza", "rua": "rua", "travessa": "travessa"}
+#: Street types that end a name written as one word (fixed values of the locale dictionary): German, Dutch, Scandinavian.
+ENDING_TYPES = {"strasse": "strasse", "straße": "strasse", "str": "strasse", "weg": "weg", "allee": "allee", "platz": "platz", "gasse": "gasse", "straat": "straat", "laan": "laan", "gatan": "gatan", "vägen": "vaegen"}
+#: A value of the state column is the name of a state if it is at most so often a city, as a share.
+STATE_SHARE = 0.1
 
 _POSTAL = re.compile(r"(?<![\w-])(?:[A-Za-z]-)?(\d{5})(?:-\d{4})?(?![\w-])|(?<!\w)([A-Za-z]{1,2}\d{1,2})\s?(\d[A-Za-z]{2})(?!\w)")
 _CARE = re.compile(r"(?:c/o|care of|attn\.?:?|z\.?\s?hd\.?)\s+[^,\n]*[,\n]", re.I)
@@ -73,8 +77,13 @@ def _one_edit(a: str, b: str) -> bool:
     return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def parse_address(text: str | None) -> dict | None:
-    """Components of one written address; None where there is no text."""
+def _ending(word: str) -> str | None:
+    """The type that ends a street name written as one word."""
+    return next((e for e in sorted(ENDING_TYPES, key=len, reverse=True) if word.endswith(e) and len(word) >= len(e) + (3 if len(e) > 3 else 4)), None)
+
+
+def parse_address(text: str | None, states: frozenset[str] = frozenset()) -> dict | None:
+    """Components of one written address; None where there is no text. ``states`` are names of states among its words and parts."""
     if text is None or not text.strip():
         return None
     out = {"house": None, "unit": None, "kind": None, "street": [], "city": [], "postal": None}
@@ -117,9 +126,21 @@ def parse_address(text: str | None) -> dict | None:
             typed = [i for i, t in enumerate(seg) if t in STREET_TYPES]
         if not typed:
             typed = [i for i, t in enumerate(seg) if _near_type(t)]
+        leading = next((i for i, t in enumerate(seg) if t in LEADING_TYPES and i != n and i + 1 < len(seg)), None)
+        ending = None if typed or leading is not None else next((i for i, t in enumerate(seg) if i != n and _ending(t)), None)
         after = [i for i in typed if i > n + 1]
         before = [i for i in typed if 0 < i < n]
-        if before and before[-1] == n - 1:
+        if leading is not None and not typed:
+            k = None
+            own = seg[leading + 1 :] if n < leading else seg[leading + 1 : n]
+            out["street"], left = own, [] if n < leading else seg[:leading] + seg[n + 1 :]
+            out["kind"] = LEADING_TYPES[seg[leading]]
+        elif ending is not None and abs(ending - n) == 1:
+            k = None
+            tail = _ending(seg[ending])
+            out["street"], left = [seg[ending][: -len(tail)]], [t for x, t in enumerate(seg) if x not in (n, ending)]
+            out["kind"] = ENDING_TYPES[tail]
+        elif before and before[-1] == n - 1:
             k = before[-1]
             start = 0
             if at == 0 and len(segments) == 1 and k > 2:
@@ -139,7 +160,9 @@ def parse_address(text: str | None) -> dict | None:
         rest += segments[:at] + [left] + segments[at + 1 :]
     else:
         rest = segments
-    words = [t for x in rest for t in x if not t.isdigit() and len(t) > 2 and t not in STATES]
+    parts = [x for x in rest if x]
+    named = [x for x in parts if " ".join(x) not in states]
+    words = [t for x in named or parts for t in x if not t.isdigit() and len(t) > 2 and t not in states]
     out["city"] = words
     out["street"] = [STREET_WORDS.get(t, t) for t in out["street"]]
     return out
@@ -152,18 +175,31 @@ def parsed_addresses(df: DataFrame, key: str = "address_id", parts: tuple[str, .
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["house", "unit", "kind", "street", "city", "postal"]
         for pdf in batches:
-            found = [(k, p) for k, t in zip(pdf["k"], pdf["t"]) if (p := parse_address(t)) is not None]
+            found = [(k, p) for k, t, s in zip(pdf["k"], pdf["t"], pdf["s"]) if (p := parse_address(t, frozenset(() if s is None else s))) is not None]
             yield pd.DataFrame([(k, *(p[n] for n in names)) for k, p in found], columns=["k", *names])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), joined.alias("t")).filter(F.trim("t") != "").mapInPandas(rows, f"k {kind}, {COMPONENTS}").withColumnRenamed("k", key)
+    own = df.select(F.col(key).alias("k"), joined.alias("t")).filter(F.trim("t") != "")
+    # names of states among the words and parts of each record, by a join with the values of the state column
+    pieces = F.array_distinct(F.concat(F.split(F.lower("t"), r"[^\p{L}'’]+"), F.transform(F.split(F.lower("t"), "[,\n;]"), lambda x: F.trim(F.regexp_replace(x, r"[^\p{L}'’]+", " ")))))
+    held = own.select("k", F.explode(pieces).alias("w")).filter("w <> ''").join(state_names(df), "w").groupBy("k").agg(F.collect_set("w").alias("s"))
+    return own.join(held, "k", "left").mapInPandas(rows, f"k {kind}, {COMPONENTS}").withColumnRenamed("k", key)
+
+
+def state_names(df: DataFrame, state: str = "state", city: str = "city") -> DataFrame:
+    """(w): values of the state column that are seldom values of the city column; none where there are no such columns."""
+    if not {state, city} <= set(df.columns):
+        return df.sparkSession.createDataFrame([], "w string")
+    form = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^\p{L}'’]+", " "))
+    n = df.select(F.explode(F.array(F.struct(form(state).alias("w"), F.lit(1).alias("s"), F.lit(0).alias("c")), F.struct(form(city).alias("w"), F.lit(0).alias("s"), F.lit(1).alias("c")))).alias("x")).select("x.*")
+    return n.filter("w <> ''").groupBy("w").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).filter((F.col("s") > 0) & (F.col("c") <= STATE_SHARE * F.col("s"))).select("w")
 
 
 #: A word is a misspelling of one at least so many times as frequent among the distinct written forms of addresses, or
 #: of one near to it where this share of its own forms stands beside another form that is equal in all else.
 RATIO, SUPPORT = 20, 0.25
-#: A head of compounds is seen in more forms than this.
-FEW = 2
+#: Tails of compounds stand behind this share of the heads the most common one stands behind.
+TAIL_SHARE = 0.3
 
 
 def _deletes(word):
@@ -200,11 +236,11 @@ def _compounds(words: DataFrame, wrong: DataFrame) -> DataFrame:
         "field", "word", F.explode(F.sequence(F.lit(3), F.length("word") - 4)).alias("i")
     )
     splits = splits.select("field", "word", F.expr("substr(word, 1, i)").alias("head"), F.expr("substr(word, i + 1)").alias("tail"))
-    heads = words.filter(F.col("n") > FEW).join(wrong, ["field", "word"], "left_anti").select("field", F.col("word").alias("head"))
+    heads = words.filter("n > 1").join(wrong, ["field", "word"], "left_anti").select("field", F.col("word").alias("head"))
     known = splits.join(heads, ["field", "head"])
     tails = cut(known.groupBy("field", "tail").agg(F.countDistinct("head").alias("k")))
-    least = max(5, 0.3 * (tails.agg(F.max("k")).first()[0] or 0))
-    tails = tails.filter(F.col("k") >= least).select("field", "tail")
+    least = TAIL_SHARE * (tails.agg(F.max("k")).first()[0] or 0)
+    tails = tails.filter((F.col("k") >= least) & (F.col("k") > 1)).select("field", "tail")
     return known.join(tails, ["field", "tail"]).select("field", "word").distinct()
 
 
@@ -295,6 +331,8 @@ def canonical_addresses(df: DataFrame, key: str = "address_id") -> DataFrame:
     return parsed.select(key, "form").join(right, "form").select(key, *PARTS)
 
 
+#: Share of the records of a postal code that have to name one city for it to stand for that city.
+CODE_SHARE = 0.8
 STREET_KEY = ["house", "unit", "kind", "street"]
 
 
@@ -308,9 +346,12 @@ def address_classes(df: DataFrame, key: str = "address_id") -> DataFrame:
     by_postal = (
         combos.filter("city <> '' and postal <> ''").groupBy(*STREET_KEY, "postal").agg(F.max_by("city", F.struct("n", "city")).alias("postal_city"))
     )
-    named = combos.join(by_postal, [*STREET_KEY, "postal"], "left")
+    # a postal code whose records nearly all name one city stands for that city where none is written
+    codes = combos.filter("city <> '' and postal <> ''").groupBy("postal", "city").agg(F.sum("n").alias("n")).groupBy("postal").agg(F.sum("n").alias("all"), F.max_by("city", F.struct("n", "city")).alias("code_city"), F.max("n").alias("n"))
+    codes = codes.filter(F.col("n") >= CODE_SHARE * F.col("all")).select("postal", "code_city")
+    named = combos.join(by_postal, [*STREET_KEY, "postal"], "left").join(codes, "postal", "left")
     place = (
-        F.when((F.col("city") == "") & F.col("postal_city").isNotNull(), F.col("postal_city"))
+        F.when((F.col("city") == "") & F.coalesce("postal_city", "code_city").isNotNull(), F.coalesce("postal_city", "code_city"))
         .when((F.col("city") != "") & (F.levenshtein("city", "postal_city") <= 2), F.col("postal_city"))
         .when(F.col("city") != "", F.col("city"))
         .when(F.col("postal") != "", F.concat(F.lit("#"), F.col("postal")))
@@ -326,8 +367,26 @@ def address_classes(df: DataFrame, key: str = "address_id") -> DataFrame:
     return canon.join(classed, [*STREET_KEY, "city", "postal"]).select(key, "location")
 
 
+def class_sizes(classes: DataFrame) -> DataFrame:
+    """(location, n_records): counted in the tasks before the shuffle."""
+    return classes.groupBy("location").agg(F.count("*").alias("n_records"))
+
+
+#: Records of a location that meet in one task, at most about.
+BLOCK = 2_000
+
+
 def same_location_pairs(df: DataFrame, key: str = "address_id") -> DataFrame:
-    """(a, b) with a < b for every pair of records of one location."""
+    """(a, b) with a < b for every pair of records of one location.
+
+    A location of many records is cut into blocks; its blocks meet two by two, each two in a task of their own.
+    """
     classes = cut(address_classes(df, key))
-    a, b = classes.select(F.col(key).alias("a"), "location"), classes.select(F.col(key).alias("b"), "location")
-    return a.join(b, "location").filter("a < b").select("a", "b")
+    blocks = class_sizes(classes).filter("n_records > 1").select("location", F.ceil(F.col("n_records") / BLOCK).cast("int").alias("blocks"))
+    own = classes.join(blocks, "location").select(F.col(key).alias("k"), "location", "blocks", F.pmod(F.xxhash64(F.col(key)), F.col("blocks")).cast("int").alias("b"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # a record stands in the pairs of blocks (b, x) for x >= b on the left and (x, b) for x <= b on the right
+    left = own.select(F.col("k").alias("k1"), "location", F.col("b").alias("i"), F.explode(F.filter(every, lambda x: x >= F.col("b"))).alias("j"))
+    right = own.select(F.col("k").alias("k2"), "location", F.explode(F.filter(every, lambda x: x <= F.col("b"))).alias("i"), F.col("b").alias("j"))
+    met = left.join(right, ["location", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("k1") < F.col("k2")))
+    return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"))

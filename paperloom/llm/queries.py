@@ -19,8 +19,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Every address record with the class of its location."""
-    return addresses.address_classes(load(spark, d, "address_values"))
+    """Every address record with the class of its location and the number of its links: the other records of the class."""
+    classes = cut(addresses.address_classes(load(spark, d, "address_values")))
+    return classes.join(addresses.class_sizes(classes), "location").select("address_id", "location", (F.col("n_records") - 1).alias("n_links"))
 
 
 def _review_strings(spark: SparkSession, d: str) -> DataFrame:

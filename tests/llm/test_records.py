@@ -62,3 +62,25 @@ def test_empty_mix(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mixed(df, targets).count() == 0
+
+
+@pytest.mark.parametrize("text,house,kind,street,city", [
+    ("Hauptstraße 5, 10115 Berlin", "5", "strasse", ["haupt"], ["berlin"]), ("5 rue de la Paix, 75002 Paris", "5", "rue", ["de", "la", "paix"], ["paris"]),
+    ("12 Oak Street, Springfield, Illinois 62704", "12", "street", ["oak"], ["springfield"]), ("12 Oak Street, Springfield, 62704", "12", "street", ["oak"], ["springfield"]),
+])
+def test_forms_of_other_countries_and_states(text, house, kind, street, city):
+    p = addresses.parse_address(text, frozenset(["illinois"]))
+    assert (p["house"], p["kind"], p["street"], p["city"]) == (house, kind, street, city)
+
+
+def test_states_come_from_their_column(spark):
+    rows = [(1, "12 Oak Street, Springfield, Illinois, 62704", "Illinois", "Springfield"), (2, "12 Oak Street, Springfield, 62704", None, "Springfield"), (3, "9 Elm Street, Illinois", "Illinois", None), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "address_id long, content string, state string, city string").selectExpr("*", "content as street_address", "cast(null as string) as postal_code", "1 as a", "2 as k")
+    assert [r.w for r in addresses.state_names(df).collect()] == ["illinois"]
+    assert {tuple(r) for r in addresses.same_location_pairs(df).collect()} == {(1, 2)}
+
+
+def test_blocks_of_a_large_location_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(addresses, "BLOCK", 3)
+    df = table(spark, ["55 Weaver Green Avenue, Dellathstead, 10432"] * 13 + ["7 Heron Road, Marelburg, 10999"] * 2)
+    assert {tuple(r) for r in addresses.same_location_pairs(df).collect()} == set(itertools.combinations(range(13), 2)) | {(13, 14)}
