@@ -97,30 +97,39 @@ def text_script(text: Column) -> Column:
     return F.when(n["L"] == most, "L").when(n["H"] * 2 >= most, "H").when(n["C"] == most, "C").otherwise("G")
 
 
-def exploded_words(df: DataFrame, keys: list[str], text: str, script: Column | None = None, every: bool = False) -> DataFrame:
-    """Words of the texts that hold a suspect character: keys, pos, word, script, company. Narrow.
+def exploded_words(df: DataFrame, keys: list[str], text: str, script: Column | None = None) -> DataFrame:
+    """Words of the texts that may have to change: keys, pos, word, script, company. Narrow.
 
-    ``every`` also keeps the words and separators that cannot change, for putting the text back together.
+    These are words with a suspect character, and in Cyrillic text words of Latin letters that all look Cyrillic.
     """
     own = df.filter(F.col(text).rlike(SUSPECT)).select(*keys, F.col(text).alias("_t"))
     own = own.select(*keys, F.split("_t", _SPLIT).alias("_w"), (script if script is not None else text_script(F.col("_t"))).alias("script"))
+    alike = rf"^\P{{L}}*[{''.join(sorted(set(CYRILLIC.values())))}]+\P{{L}}*$"
+    suspect = lambda w: w.rlike(SUSPECT) | ((F.col("script") == "C") & w.rlike(alike))
     words = F.transform(
         "_w",
         lambda w, i: F.struct(
             i.alias("pos"),
             w.alias("word"),
-            (w.rlike(SUSPECT) & (F.coalesce(F.try_element_at("_w", i - 1 + F.when(i > 1, 0)), F.lit("")).rlike(_SURELY_CYRILLIC) | F.coalesce(F.try_element_at("_w", i + 3), F.lit("")).rlike(_SURELY_CYRILLIC))).alias("company"),
+            (suspect(w) & (F.coalesce(F.try_element_at("_w", i - 1 + F.when(i > 1, 0)), F.lit("")).rlike(_SURELY_CYRILLIC) | F.coalesce(F.try_element_at("_w", i + 3), F.lit("")).rlike(_SURELY_CYRILLIC))).alias("company"),
         ),
     )
-    if not every:
-        words = F.filter(words, lambda x: x["word"].rlike(SUSPECT))
+    words = F.filter(words, lambda x: suspect(x["word"]))
     return own.select(*keys, "script", F.explode(words).alias("x")).select(*keys, "script", "x.pos", "x.word", "x.company")
 
 
+def rebuilt(df: DataFrame, keys: list[str], text: str, words: DataFrame, canon: DataFrame) -> DataFrame:
+    """``df`` with the canonical words at their places; only changed words are shuffled beside the texts they go back into."""
+    new = canon.filter("canon <> word").select("word", "script", "company", "canon")
+    own = words.join(new, ["word", "script", "company"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", "canon"))).alias("_m"))
+    parts = F.transform(F.split(text, _SPLIT), lambda w, i: F.coalesce(F.try_element_at("_m", i), w))
+    return df.join(own, keys, "left").withColumn(text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(F.array_join(parts, ""))).drop("_m")
+
+
 def canonical_words(words: DataFrame) -> DataFrame:
     """(word, script, company, canon) of the distinct words; only they are exploded into code points."""
     key = ["word", "script", "company"]
-    points = words.filter(F.col("word").rlike(SUSPECT)).select(*key).distinct().select(*key, F.posexplode(F.split("word", "")).alias("pos", "ch"))
+    points = words.select(*key).distinct().select(*key, F.posexplode(F.split("word", "")).alias("pos", "ch"))
     table = F.broadcast(code_point_table(words.sparkSession))
     rows = points.join(table, "ch", "left").select(
         *key, F.struct("pos", F.coalesce("i", F.lit(0)).alias("i")).alias("at"),
@@ -187,14 +196,10 @@ def canonical_words(words: DataFrame) -> DataFrame:
     )
 
 
-def normalized(df: DataFrame, key: str, text: str) -> DataFrame:
+def normalized(df: DataFrame, key: str, text: str, script: Column | None = None) -> DataFrame:
     """``df`` with its text in the one form. ``key`` is unique. Texts without suspect characters are passed through untouched."""
-    words = cut(exploded_words(df, [key], text, every=True))
-    canon = canonical_words(words)
-    back = words.join(canon, ["word", "script", "company"], "left").groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canon", "word").alias("w")))), lambda x: x["w"]), "").alias("_new")
-    )
-    return df.join(back, key, "left").withColumn(text, F.coalesce("_new", text)).drop("_new")
+    words = cut(exploded_words(df, [key], text, script))
+    return rebuilt(df, [key], text, words, canonical_words(words))
 
 
 def changed_rows(df: DataFrame, keys: list[str], text: str, script: Column | None = None) -> DataFrame:

@@ -102,13 +102,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     values = _kie_values(spark, d).distinct()
     script = F.when(F.col("field_name") == "invoice_number", "L").otherwise(lookalikes.text_script(F.col("_t")))
     values = values.withColumn("key", F.sha2(F.concat_ws("|", "task_id", "field_name", "value"), 256))
-    suspects = values.filter(F.col("value").rlike(lookalikes.SUSPECT))
-    words = lookalikes.exploded_words(suspects, ["key", "field_name"], "value", script, every=True)
-    canon = lookalikes.canonical_words(words)
-    new = words.join(canon, ["word", "script", "company"], "left").groupBy("key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("canon", "word").alias("w")))), lambda x: x["w"]), "").alias("canon")
-    )
-    changed = suspects.join(new, "key").filter("canon <> value")
+    suspects = values.filter(F.col("value").rlike(lookalikes.SUSPECT)).withColumn("canon", F.col("value"))
+    words = lookalikes.exploded_words(suspects, ["key", "field_name"], "value", script)
+    changed = lookalikes.rebuilt(suspects, ["key"], "canon", words, lookalikes.canonical_words(words)).filter("canon <> value")
     squeeze = lambda c: F.trim(F.regexp_replace(c, " +", " "))
     parties = load(spark, d, "parties").select(F.col("party_id").cast("string").alias("party"), squeeze(F.col("party_name")).alias("name"))
     named = changed.withColumn("name", F.when(F.col("field_name") != "invoice_number", squeeze(F.col("canon")))).join(parties, "name", "left")
@@ -117,8 +113,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its text in the one form."""
-    return lookalikes.normalized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    """(tbl, rec_id, field_name, text): documents and the compared fields of task results in the one form."""
+    docs = lookalikes.normalized(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    docs = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("rec_id"), F.lit("text").alias("field_name"), "text")
+    values = _kie_values(spark, d).distinct().withColumn("key", F.sha2(F.concat_ws("|", "task_id", "field_name", "value"), 256)).withColumn("text", F.col("value"))
+    script = F.when(F.col("field_name") == "invoice_number", "L").otherwise(lookalikes.text_script(F.col("_t")))
+    words = cut(lookalikes.exploded_words(values, ["key", "field_name"], "value", script))
+    fields = lookalikes.rebuilt(values, ["key"], "text", words, lookalikes.canonical_words(words))
+    return docs.unionByName(fields.select(F.lit("batch_tasks").alias("tbl"), F.col("task_id").alias("rec_id"), "field_name", "text"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -213,6 +213,12 @@ def test_lookalikes(spark):
     assert {r.doc_id for r in lookalikes.changed_rows(df, ["doc_id"], "text").collect()} == {0, 1, 3}
 
 
+def test_whole_latin_words_in_cyrillic_text(spark):
+    df = docs(spark, ["Отчет о проверке c завода добавлен", "Завод ABC Ltd работает"])
+    out = {r.doc_id: r.text for r in lookalikes.normalized(df, "doc_id", "text").collect()}
+    assert out[0] == "Отчет о проверке с завода добавлен" and out[1] == "Завод ABC Ltd работает"
+
+
 def test_leakage_against_plain_containment(spark):
     r = random.Random(5)
     words = [f"{a}{b}" for a in "ba do ke li mu no pa ri so tu".split() for b in "lan mer tig voss quil nard".split()]
