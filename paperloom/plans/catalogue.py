@@ -27,13 +27,17 @@ both("q_word_ngrams", f"WITH {WORDS_SPARK} {NGRAM}", f"WITH {WORDS_DUCK} {NGRAM}
 #: Boxes come once for each line they reach, so that the line is an equi-key of the spatial join.
 BOXES = "boxes AS (SELECT doc, idx, y0 - 1 AS by0, y0 + 30 AS by1, 30.0 AS bx0, 200.0 AS bx1, idx + k AS bline FROM blocks, (SELECT 0 AS k UNION ALL SELECT 1) e WHERE type = 'table')"
 INBOX = "SELECT w.doc, b.idx, count(*) AS n FROM words w JOIN boxes b ON w.doc = b.doc AND w.line = b.bline AND (w.x0 + w.x1) / 2 BETWEEN b.bx0 AND b.bx1 AND (w.y0 + w.y1) / 2 BETWEEN b.by0 AND b.by1 GROUP BY w.doc, b.idx"
-both("q_words_in_boxes", f"WITH {WORDS_SPARK}, {BOXES} {INBOX}", f"WITH {WORDS_DUCK}, {BOXES} {INBOX}")
+#: The constant side exploded out of an array: no nested-loop join.
+BOXES_SPARK = BOXES.replace("FROM blocks, (SELECT 0 AS k UNION ALL SELECT 1) e", "FROM blocks LATERAL VIEW explode(array(0, 1)) e AS k")
+both("q_words_in_boxes", f"WITH {WORDS_SPARK}, {BOXES_SPARK} {INBOX}", f"WITH {WORDS_DUCK}, {BOXES} {INBOX}")
 OUTBOX = "SELECT doc, count(*) AS n FROM words w WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE w.doc = b.doc AND w.line = b.bline AND (w.x0 + w.x1) / 2 BETWEEN b.bx0 AND b.bx1 AND (w.y0 + w.y1) / 2 BETWEEN b.by0 AND b.by1) GROUP BY doc"
 # written as an anti join: decorrelating NOT EXISTS would turn the range into a nested-loop join
 ANTI = OUTBOX.replace("WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE ", "LEFT ANTI JOIN boxes b ON ").replace(") GROUP BY doc", " GROUP BY doc")
-both("q_words_outside_siblings", f"WITH {WORDS_SPARK}, {BOXES} {ANTI}", f"WITH {WORDS_DUCK}, {BOXES} {OUTBOX}")
+both("q_words_outside_siblings", f"WITH {WORDS_SPARK}, {BOXES_SPARK} {ANTI}", f"WITH {WORDS_DUCK}, {BOXES} {OUTBOX}")
 NEAR = "SELECT doc, line, word_no, {f}(col, dist) AS col FROM (SELECT w.doc, w.line, w.word_no, c.col, abs((w.x0 + w.x1) / 2 - c.cx) + c.col / 1000000.0 AS dist FROM words w JOIN (SELECT 0 AS col, 60.0 AS cx UNION ALL SELECT 1, 180.0 UNION ALL SELECT 2, 330.0) c ON abs((w.x0 + w.x1) / 2 - c.cx) <= 80) t GROUP BY doc, line, word_no"
-both("q_nearest_column", f"WITH {WORDS_SPARK} " + NEAR.format(f="min_by"), f"WITH {WORDS_DUCK} " + NEAR.format(f="arg_min"))
+NEAR_SPARK = """SELECT doc, line, word_no, min_by(col, dist) AS col FROM (SELECT doc, line, word_no, c.col, abs((x0 + x1) / 2 - c.cx) + c.col / 1000000.0 AS dist FROM words
+  LATERAL VIEW inline(array(named_struct('col', 0, 'cx', 60.0D), named_struct('col', 1, 'cx', 180.0D), named_struct('col', 2, 'cx', 330.0D))) c AS col, cx WHERE abs((x0 + x1) / 2 - cx) <= 80) t GROUP BY doc, line, word_no"""
+both("q_nearest_column", f"WITH {WORDS_SPARK} " + NEAR_SPARK.replace("c.", ""), f"WITH {WORDS_DUCK} " + NEAR.format(f="arg_min"))
 # tables: candidates, confusion gate, funnel, confidence, mapping
 # batches and tasks
 both(

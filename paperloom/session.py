@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,17 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode where none is set (tests).
+
+    On a cluster a folder of one machine would be lost with it, so there it has to be named.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = named or tempfile.mkdtemp(prefix="paperloom-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
