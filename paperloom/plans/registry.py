@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, library, nested
+from . import catalogue, details, library, nested
 
-QUERIES = {**nested.QUERIES, **catalogue.QUERIES, **library.QUERIES}
-SQL: dict[str, str] = {**{k: v for k, v in catalogue.SQL.items() if k not in library.QUERIES}, **library.SQL}
+QUERIES = {**nested.QUERIES, **catalogue.QUERIES, **library.QUERIES, **details.QUERIES}
+SQL: dict[str, str] = {**{k: v for k, v in catalogue.SQL.items() if k not in library.QUERIES}, **library.SQL, **details.SQL}
