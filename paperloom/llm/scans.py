@@ -601,6 +601,13 @@ def _mark(parts) -> int:
     return crc | (size & 0x7FFFFFFF) << 32
 
 
+def _plainly(records: DataFrame) -> DataFrame:
+    """Records with one plain text as that text, the others as their parts."""
+    first = F.get("parts", F.lit(0))
+    lone = F.coalesce((F.size("parts") == 1) & (first["node"] == "") & first["page"].isNull() & first["text"].isNotNull(), F.lit(False))
+    return records.select("tbl", "rec_id", F.when(lone, first["text"]).alias("text"), F.when(~lone, F.col("parts")).alias("parts"))
+
+
 def raw_findings(records: DataFrame, lex: Lexicon) -> DataFrame:
     """Findings of records (tbl, rec_id, parts array<struct<node,page,text>>); open ones are still to be looked up."""
     sent = records.sparkSession.sparkContext.broadcast(tuple(lex))
@@ -619,10 +626,7 @@ def raw_findings(records: DataFrame, lex: Lexicon) -> DataFrame:
                 out += [(tbl, rec, lines[f.line][0], lines[f.line][1], *f[1:], mark) for f in found]
             yield pd.DataFrame(out, columns=["tbl", "rec_id", "node", "line_no", "kind", "word", "prev", "given", "broken", "same_text"])
 
-    # a record of one plain text travels as that text
-    lone = (F.size("parts") == 1) & (F.col("parts")[0]["node"] == "") & F.col("parts")[0]["page"].isNull()
-    sent_rows = records.select("tbl", "rec_id", F.when(lone, F.col("parts")[0]["text"]).alias("text"), F.when(~lone, F.col("parts")).alias("parts"))
-    return sent_rows.filter("text is not null or parts is not null").mapInPandas(rows, FOUND)
+    return _plainly(records).filter("text is not null or parts is not null").mapInPandas(rows, FOUND)
 
 
 def settled_findings(found: DataFrame, right: DataFrame, lex: Lexicon) -> DataFrame:
@@ -733,7 +737,7 @@ def set_text(lines, found: dict[int, str], broken: set[int], repairs: dict[str,
             t = _WORD.sub(one, t)
         return _BADNUM.sub(lambda m: m[0] if m[0] not in numbers else (m[1] or "") + (m[2] or m[0]).translate(_NUMERALS), t) if numbers else t
 
-    out: list[str] = []
+    out: list[list[str]] = []
     open_line = False
     at_edge = False  # a page edge inside a paragraph keeps it open
     for i, (node, _, _, t) in enumerate(lines):
@@ -742,7 +746,7 @@ def set_text(lines, found: dict[int, str], broken: set[int], repairs: dict[str,
             continue
         t = t.replace("\f", " ").strip()
         if not t:
-            if not at_edge or out and re.search(r"[.!?:»”\"]$", out[-1]):
+            if not at_edge or out and out[-1][-1][-1:] in ".!?:»”\"":
                 open_line = False
             continue
         if i in drop_head and t.startswith(drop_head[i]):
@@ -750,16 +754,18 @@ def set_text(lines, found: dict[int, str], broken: set[int], repairs: dict[str,
         if i in breaks:
             _, a, b = breaks[i]
             t = _BREAK.sub("", t) + a + b
-        if _TABLE.search(t) or _AMOUNT.search(t) or i and lines[i - 1][0] != node and not at_edge:
+        row = bool(_DIGIT.search(t)) and bool(_TABLE.search(t) or _AMOUNT.search(t))
+        if row or i and lines[i - 1][0] != node and not at_edge:
             open_line = False
         if t:
             if open_line:
-                out[-1] += ("" if out[-1].endswith("-") and t[:1].isalnum() else " ") + t
+                own = out[-1]
+                own.append(t if t[:1] in ".,;:!?)" or own[-1].endswith("-") and t[:1].isalnum() else " " + t)
             else:
-                out.append(t)
-            open_line = not (_TABLE.search(t) or _AMOUNT.search(t))
+                out.append([t])
+            open_line = not row
         at_edge = False
-    return "\n\n".join(mend(re.sub(r"\s+", " ", p)) for p in out)
+    return "\n\n".join(mend(" ".join("".join(p).split())) for p in out)
 
 
 def repaired(records: DataFrame) -> DataFrame:
@@ -771,14 +777,25 @@ def repaired(records: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for tbl, rec, parts, fixes in zip(pdf["tbl"], pdf["rec_id"], pdf["parts"], pdf["fixes"]):
-                lines = _lines_of(parts)
+            for tbl, rec, text, parts, fixes in zip(pdf["tbl"], pdf["rec_id"], pdf["text"], pdf["parts"], pdf["fixes"]):
+                if text is None and parts is None:
+                    out.append((tbl, rec, ""))
+                    continue
+                lines = _lines_of(parts if text is None else [{"node": "", "page": None, "text": text}])
                 fixes = [] if fixes is None else list(fixes)
                 place = {(x[0], x[1]): i for i, x in enumerate(lines)} if fixes else {}
-                at = {kind: {place[f["node"], f["line_no"]]: f for f in fixes if f["kind"] == kind} for kind in ("page_number", "running_header", "broken_word")}
-                found = {i: kind for kind in ("page_number", "running_header") for i in at[kind]}
-                words = {f["word"]: f["prev"] for f in fixes if f["kind"] == "repair"}
-                out.append((tbl, rec, set_text(lines, found, set(at["broken_word"]), words, {f["word"] for f in fixes if f["kind"] == "misread"})))
+                found, broken, words, numbers = {}, set(), {}, set()
+                for f in fixes:
+                    kind = f["kind"]
+                    if kind == "repair":
+                        words[f["word"]] = f["prev"]
+                    elif kind == "misread":
+                        numbers.add(f["word"])
+                    elif kind == "broken_word":
+                        broken.add(place[f["node"], f["line_no"]])
+                    else:
+                        found[place[f["node"], f["line_no"]]] = kind
+                out.append((tbl, rec, set_text(lines, found, broken, words, numbers)))
             yield pd.DataFrame(out, columns=["tbl", "rec_id", "text"])
 
-    return records.join(fixes, ["tbl", "rec_id"], "left").mapInPandas(rows, "tbl string, rec_id string, text string")
+    return _plainly(records).join(fixes, ["tbl", "rec_id"], "left").mapInPandas(rows, "tbl string, rec_id string, text string")

@@ -59,6 +59,10 @@ def test_set_text_joins_and_repairs():
     assert scans.set_text(lines(text), {}, {0}, {"rneasured": "measured"}) == "the optical signal was measured\n\nnoted in pencil"
 
 
+def test_what_follows_a_joined_word_stays_with_it():
+    assert scans.set_text(lines("the optical sig-\nnal, it was mea-\nsured.\nnoted"), {}, {0, 1}, {}) == "the optical signal, it was measured. noted"
+
+
 def test_defects_end_to_end(spark):
     part = "array<struct<node:string,page:int,text:string>>"
     rows = [("documents", str(i), [("", None, "the laboratory measured the signal again")]) for i in range(30)]
