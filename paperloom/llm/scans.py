@@ -734,8 +734,12 @@ def set_text(lines, found: dict[int, str], broken: set[int], repairs: dict[str,
             return right.upper() if m[0].isupper() and len(m[0]) > 2 else right.capitalize() if m[0][:1].isupper() else right
 
         if repairs:
-            t = _WORD.sub(one, t)
-        return _BADNUM.sub(lambda m: m[0] if m[0] not in numbers else (m[1] or "") + (m[2] or m[0]).translate(_NUMERALS), t) if numbers else t
+            low = t.lower()
+            if any(w in low for w in repairs):
+                t = _WORD.sub(one, t)
+        if not any(x in t for x in numbers):
+            return t
+        return _BADNUM.sub(lambda m: m[0] if m[0] not in numbers else (m[1] or "") + (m[2] or m[0]).translate(_NUMERALS), t)
 
     out: list[list[str]] = []
     open_line = False
