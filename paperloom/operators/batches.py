@@ -135,7 +135,10 @@ def encoded(rows: DataFrame, columns: list[str]) -> DataFrame:
 def retained(jobs: DataFrame, n: int = 50, group: list[str] | None = None) -> DataFrame:
     """Jobs that stay: every one still going, and of the finished ones the newest n by their end, else their beginning."""
     over = F.col("status").isin(TERMINAL)
-    w = Window.partitionBy(*(group or []), over).orderBy(F.desc(F.coalesce("completed_at", "created_at")), F.desc("record_id"))
+    newest = [F.desc(F.coalesce("completed_at", "created_at")), F.desc("record_id")]
+    if not group:  # the n newest of all by merging the n newest of each task, never all of them in one
+        return jobs.filter(~over).unionByName(jobs.filter(over).orderBy(*newest).limit(n))
+    w = Window.partitionBy(*group, over).orderBy(*newest)
     return jobs.withColumn("_n", F.row_number().over(w)).filter(~over | (F.col("_n") <= n)).drop("_n")
 
 
