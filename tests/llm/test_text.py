@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from paperloom.llm import leakage, lookalikes, pii, scans, subjects
 
@@ -338,3 +340,15 @@ def test_subjects(spark):
     ]
     got = {tuple(r) for r in subjects.document_subjects(docs(spark, texts)).collect()}
     assert got == {(0, "law"), (0, "sport"), (1, "medicine")}
+
+
+def test_calibration_takes_every_label(spark):
+    """The first 20,000 labels by hash speak for a low share, the rest for a high one; all together for the high one."""
+    order = Window.orderBy(F.xxhash64("doc_id", "subject"), "doc_id")
+    labels = spark.range(65_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("subject"))
+    ranked = labels.select("doc_id", (F.row_number().over(order) <= 20_000).alias("early"))
+    paragraph = lambda s, share: F.struct(F.lit(s).alias("subject"), F.lit(share).alias("share"))
+    rows = F.when(F.col("early"), F.array(paragraph("a", 0.45))).otherwise(F.array(paragraph("b", 0.45), paragraph("a", 0.9)))
+    scores = ranked.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*", F.lit(50.0).alias("density"), F.lit(3).alias("n"), F.lit(40).alias("words"))
+    assert subjects.calibrate(scores, labels.unionByName(labels.limit(5))) == (0.8, 30.0)
+    assert subjects.calibrate(scores.limit(0), labels.limit(0)) == (0.8, 30.0)
