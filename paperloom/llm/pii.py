@@ -1,16 +1,14 @@
 """Personal information in free text: a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-The text is folded position by position (look-alikes, full-width forms and invisible characters do not matter) and cut
-into overlapping windows around every place that could hold personal data at all: digits that follow one another, signs of
-a mail address, capitals that follow one another. The places are a prefilter only (``pii_train`` prints how many labelled
-spans it covers); what is found, and from where to where, is the network's: its emissions in overlapping windows are
-weighed by how far inside a window a character stands and added, and one Viterbi pass over each whole stretch decides them
-together. A span is widened to whole tokens and freed of punctuation around it; an exact check that follows may only
-reject it (``plausible``). The weights are trained by ``pii_train`` from labelled spans and kept beside this module.
+The text is folded position by position (look-alikes, full-width forms and invisible characters do not matter) and read
+whole, in overlapping windows. What is found, and from where to where, is the network's: its emissions in overlapping
+windows are weighed by how far inside a window a character stands and added, and one Viterbi pass over each whole text
+decides them together. A span is widened to whole tokens and freed of punctuation around it; an exact check that follows may
+only reject it (``plausible``). The weights are trained by ``pii_train`` from labelled spans, in windows around the places
+that could hold personal data (``regions``), and kept beside this module.
 
 Defined results: null and empty texts have no spans; overlapping spans are resolved to the earlier and longer; repeated
-rows give repeated spans (the query keeps distinct ones); a text without a place is never decoded and has no spans;
-columns other than those named are ignored.
+rows give repeated spans (the query keeps distinct ones); columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +28,8 @@ from .lookalikes import CYRILLIC, GREEK
 KINDS = ("name", "email", "phone", "id_number", "address")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 WINDOW, STRIDE, CONTEXT, BATCH = 128, 96, 28, 256
+#: Characters whose scores are held at once; a longer text is a part of its own.
+CHARS = 500_000
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 #: Characters the model knows; others fall into classes.
 _ALPHABET = "".join(map(chr, range(32, 127))) + "\n"
@@ -181,20 +181,26 @@ class Tagger:
         return out
 
 
+def postal_places(text: str) -> list[tuple[int, int]]:
+    """Postal codes and boxes."""
+    at = []
+    for m in _POSTAL.finditer(text):
+        a, b = m.span()
+        if a > 1 and text[a - 1].isspace() and (text[a - 2].isalpha() or text[a - 2] == ",") or text[b : b + 1].isspace() and text[b : b + 3].strip()[:1].isupper():
+            at.append((a, b))
+    at += [m.span() for m in _BOXES.finditer(text)]
+    return at + [m.span() for m in _CODES.finditer(text) if not m.start() or not text[m.start() - 1].isalnum()]
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged stretches around all places that could hold personal data."""
+    """Merged stretches around all places that could hold personal data; training takes its windows from them."""
     at = []
     for m in _DIGITS.finditer(text):
         a = m.start()
         before = text[a - 1] if a else " "
         if not (before.isalnum() or before in "_,-" or before == "." and text[a - 2 : a - 1].isdigit()) and not _DATE.match(text, a):
             at.append(m.span())
-    for m in _POSTAL.finditer(text):
-        a, b = m.span()
-        if a > 1 and text[a - 1].isspace() and (text[a - 2].isalpha() or text[a - 2] == ",") or text[b : b + 1].isspace() and text[b : b + 3].strip()[:1].isupper():
-            at.append((a, b))
-    at += [m.span() for m in _BOXES.finditer(text)]
-    at += [m.span() for m in _CODES.finditer(text) if not m.start() or not text[m.start() - 1].isalnum()]
+    at += postal_places(text)
     at += [(m.start() - CONTEXT, m.end() + CONTEXT) for p in _SIGNS for m in p.finditer(text)]
     at += [m.span() for m in _PAIR.finditer(text) if m[1] not in _NOT_FIRST]
     out: list[list[int]] = []
@@ -248,13 +254,16 @@ def plausible(kind: str, value: str, behind: str = "") -> bool:
     if kind == "phone":
         return 7 <= digits <= 15 and (value[0] in "+(0" or bool(re.match(r"\d{3}([-. \n])\n?\d{3}\1", value)))
     if kind == "id_number":
-        return 6 <= digits <= 20 and sum(c.isalpha() for c in value) <= 4
-    return digits > 0 and sum(c.isalpha() for c in value) >= 4
+        return 6 <= digits <= 20 and sum(c.isalpha() for c in value) <= 4 and not _DATE.fullmatch(value)
+    return digits > 0 and sum(c.isalpha() for c in value) >= 4 and bool(postal_places(value + behind[:3]))
 
 
 def spans_of(texts: list[str], tagger: Tagger, check: bool = True) -> list[list[tuple[str, int, int]]]:
     """(kind, from, to) of each text, in places of the folded text."""
-    rs = [regions(t) for t in texts]
+    if len(texts) > 1 and sum(map(len, texts)) > CHARS:
+        half = len(texts) // 2
+        return spans_of(texts[:half], tagger, check) + spans_of(texts[half:], tagger, check)
+    rs = [[(0, len(t))] if t else [] for t in texts]
     ws = windows(rs)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not ws:
@@ -277,8 +286,9 @@ def spans_of(texts: list[str], tagger: Tagger, check: bool = True) -> list[list[
             sums[number][a - start : b - start] += inside * e[:n, col]
             weights[number][a - start : b - start] += inside
     by_length = sorted(range(len(stretches)), key=lambda i: len(sums[i]))
-    for at in range(0, len(stretches), BATCH):
-        part = by_length[at : at + BATCH]
+    while by_length:
+        most = max(1, min(BATCH, CHARS // len(sums[by_length[-1]])))
+        part, by_length = by_length[-most:], by_length[:-most]
         for i, y in zip(part, tagger.decode([sums[i] / weights[i] for i in part])):
             no, start, _ = stretches[i]
             text, n = texts[no], len(y)

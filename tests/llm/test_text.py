@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -352,3 +353,27 @@ def test_calibration_takes_every_label(spark):
     scores = ranked.select("doc_id", F.explode(rows).alias("x")).select("doc_id", "x.*", F.lit(50.0).alias("density"), F.lit(3).alias("n"), F.lit(40).alias("words"))
     assert subjects.calibrate(scores, labels.unionByName(labels.limit(5))) == (0.8, 30.0)
     assert subjects.calibrate(scores.limit(0), labels.limit(0)) == (0.8, 30.0)
+
+
+def test_the_network_reads_every_character():
+    """Nothing passes a text over: every character is read in the context of its text, whatever stands around it."""
+
+    class Marks(pii.Tagger):
+        def emissions(self, x):
+            e = super().emissions(x)
+            e[x == pii._INDEX["q"]] += np.where(np.arange(len(pii.TAGS)) == pii.TAGS.index("I-name"), 1000, 0)
+            return e
+
+    with np.load(pii.MODEL) as f:
+        tagger = Marks({k: f[k] for k in f.files})
+    plain = "all of this is in small letters " * 30
+    texts = [plain + "qqqqqqq " + plain, "", "qqq", plain * 20]
+    assert pii.regions(texts[0]) == []
+    found = pii.spans_of(texts, tagger, check=False)
+    assert ("name", len(plain), len(plain) + 7) in found[0] and not found[1]
+
+
+def test_dates_and_counts_are_no_ids_and_addresses():
+    assert not pii.plausible("id_number", "2019-04-27") and pii.plausible("id_number", "417-29-8863")
+    assert not pii.plausible("address", "792 metres") and not pii.plausible("address", "September 2021")
+    assert pii.plausible("address", "18 Marchmont Road, Appledore 40312") and pii.plausible("address", "PO Box 12, Ulmen") and pii.plausible("address", "7 Oak Lane, Ulmen HF1 2QV")
