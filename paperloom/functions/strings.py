@@ -7,6 +7,7 @@ built-in expression and run as Arrow batches; everything else stays in the JVM.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfkc_in_place(c: Column) -> Column:
+    """Compatibility composition by the ICU library that Spark brings along. A Python function would end the partitioning of its rows, so that all later joins move them again."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+
+
 @F.pandas_udf(StringType())
 def casefold(s: pd.Series) -> pd.Series:
     """Full case folding (ß and ss fall together)."""
@@ -52,10 +58,10 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-def comparable(c: Column) -> Column:
+def comparable(c: Column, fold: Callable[[Column], Column] = nfkc) -> Column:
     """Form for character-level comparison: compatibility forms and full-width punctuation folded, no white space; '' for null."""
-    folded = F.when(c.rlike(r"[^\x00-\x7F]"), nfkc(c)).otherwise(c)
-    return F.coalesce(F.regexp_replace(_replaced(folded, PUNCTUATION), r"(?U)\s", ""), F.lit(""))
+    folded = F.when(c.rlike(r"[^\x00-\x7F]"), _replaced(fold(c), PUNCTUATION)).otherwise(c)
+    return F.coalesce(F.regexp_replace(folded, r"(?U)\s", ""), F.lit(""))
 
 
 def grounding_form(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """Cell backfill: the text layer of a page confirms, corrects or contradicts what recognition read in the cells of a table.
 
 ``tables`` (doc, page, tbl, x0, y0, x1, y1 in pixels at twice the page size, n_rows, n_cols), ``words`` (doc, page, block,
-line, word_no, x0, y0, x1, y1 in points, text) and ``cells`` (doc, page, tbl, row, col, text). All windows and joins run on
-(doc, page, tbl), so they share one partitioning; word-in-box joins are equi-joins on (doc, page) with the box as residual.
+line, word_no, x0, y0, x1, y1 in points, text) and ``cells`` (doc, page, tbl, row, col, text). All joins are equi-joins on (doc, page) with what else has to agree as residual, and all
+windows run on (doc, page, tbl): Spark moves the sides of a join again unless their partitioning names all its keys, so with
+narrower keys every step would write all words and cells anew, while relations that come in by page are moved by none.
 
 Defined results: cells that are no candidates keep their text with provenance ``vision`` and no reason; tables without words
 turn every candidate into a mismatch; null texts are no candidates; equal words at one place are separate words.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import comparable
+from ..functions import strings
 from .geometry import cell_rect
 
 # Fixed values.
@@ -25,6 +26,11 @@ REASONS = ["value_match", "geometric", "cluster", "sanity_reject", "no_aligned_l
 KEY = ["doc", "page", "tbl"]
 
 
+def comparable(c: Column) -> Column:
+    """The form for comparison, without Python."""
+    return strings.comparable(c, strings.nfkc_in_place)
+
+
 def is_candidate(c: Column) -> Column:
     """Whether a cell can be checked: at most 40 characters that are a symbol, a number, a date or a code with a digit."""
     t = F.trim(F.coalesce(c, F.lit("")))
@@ -67,6 +73,17 @@ def band_flags(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(b.isNotNull() & wrong, F.lit(n)) for n, wrong in rules.items()]))
 
 
+def same(a: str, b: str, names: list[str]) -> Column:
+    """Whether two sides agree in columns, in a form that stays a residual of their join on the page."""
+    return F.expr(" and ".join(f"{a}.{n} <= {b}.{n} and {a}.{n} >= {b}.{n}" for n in names))
+
+
+def joined(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the further columns of the rows of ``b`` of its page that agree in ``names``."""
+    on = F.expr("a.doc = b.doc and a.page = b.page") & same("a", "b", names)
+    return a.alias("a").join(b.alias("b"), on, how).select("a.*", *[f"b.{c}" for c in b.columns if c not in ("doc", "page", *names)])
+
+
 def words_in_boxes(words: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
     """Words whose centre lies in a box (bx0, by0, bx1, by1), edges included: an equi-join on the page with the box as residual."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
@@ -101,8 +118,9 @@ def neighbourhood(tables: DataFrame, words: DataFrame) -> DataFrame:
 def row_clusters(words: DataFrame, key: list[str], tolerance: Column) -> DataFrame:
     """Words with the number of their visual row: sorted by lower edge, a new row where it lies more than the tolerance below the last."""
     order = Window.partitionBy(*key).orderBy("y1", "x0", "word_no")
-    jump = F.when(F.col("y1") - F.lag("y1").over(order) > tolerance, 1).otherwise(0)
-    return words.withColumn("_j", jump).withColumn("cluster", F.sum("_j").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_j")
+    before = words.withColumn("_b", F.lag("y1").over(order))  # first, so that a window in the tolerance finds the rows sorted
+    jump = F.when(F.col("y1") - F.col("_b") > tolerance, 1).otherwise(0)
+    return before.withColumn("_j", jump).withColumn("cluster", F.sum("_j").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_b", "_j")
 
 
 def row_groups(words: DataFrame, key: list[str], gap: float = COLUMN_GAP) -> DataFrame:
@@ -131,9 +149,8 @@ def nearest_column(centre: Column, left: Column, right: Column, n: Column) -> Co
 def layout_model(tables: DataFrame, words: DataFrame) -> DataFrame:
     """Words around each table with their row cluster, its table row, their group, its centre and table column."""
     near = neighbourhood(tables, words)
-    median = near.groupBy(*KEY).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY y1 - y0)").alias("h_med"))
-    near = near.join(median, KEY)
-    near = row_groups(row_clusters(near, KEY, F.greatest(F.lit(2.0), 0.5 * F.col("h_med"))), KEY)
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY y1 - y0) OVER (PARTITION BY {', '.join(KEY)})")
+    near = row_groups(row_clusters(near, KEY, F.greatest(F.lit(2.0), 0.5 * median)), KEY)
     c, g = Window.partitionBy(*KEY, "cluster"), Window.partitionBy(*KEY, "cluster", "grp")
     near = near.withColumns({"cy0": F.min("y0").over(c), "cy1": F.max("y1").over(c), "centre": (F.min("x0").over(g) + F.max("x1").over(g)) / 2})
     return near.withColumns({"trow": band_row(F.col("cy0"), F.col("cy1"), F.col("ty0"), F.col("ty1"), F.col("n_rows")), "tcol": nearest_column(F.col("centre"), F.col("tx0"), F.col("tx1"), F.col("n_cols"))})
@@ -142,7 +159,8 @@ def layout_model(tables: DataFrame, words: DataFrame) -> DataFrame:
 def word_runs(words: DataFrame, key: list[str], most: int = RUN) -> DataFrame:
     """Runs of one to ``most`` words of a line: key, block, line, first, last (word numbers in the line), norm (comparable text) and the first word's columns."""
     order = Window.partitionBy(*key, "block", "line").orderBy("word_no")
-    ahead = F.collect_list(F.struct("word_no", "norm")).over(order.rowsBetween(0, most - 1))
+    own = F.struct("word_no", "norm")
+    ahead = F.array_compact(F.array(own, *[F.lead(own, i).over(order) for i in range(1, most)]))
     w = words.withColumn("norm", comparable(F.col("text"))).withColumn("_a", ahead)
     w = w.withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_a"))))
     return w.withColumns({"first": F.col("word_no"), "last": F.element_at("_a", F.col("_n"))["word_no"], "norm": F.array_join(F.transform(F.slice("_a", F.lit(1), F.col("_n")), lambda x: x["norm"]), "")}).drop("_a", "_n")
@@ -150,55 +168,62 @@ def word_runs(words: DataFrame, key: list[str], most: int = RUN) -> DataFrame:
 
 def maximal_runs(runs: DataFrame, key: list[str]) -> DataFrame:
     """Runs that lie in no longer one of the same line and key."""
-    a, b = runs.alias("a"), runs.select(*key, "block", "line", "first", "last").alias("b")
-    same = F.expr(" and ".join(f"a.{k} <=> b.{k}" for k in [*key, "block", "line"]))
-    return a.join(b, same & F.expr("b.first <= a.first and a.last <= b.last and (b.first < a.first or a.last < b.last)"), "left_anti")
+    line = Window.partitionBy(*key, "block", "line")
+    begun = F.max(F.when(F.col("first").isNotNull(), F.col("last"))).over(line.orderBy("first").rangeBetween(Window.unboundedPreceding, -1))
+    longest = F.max("last").over(Window.partitionBy(*key, "block", "line", "first"))
+    return runs.withColumns({"_b": begun, "_l": longest}).filter(F.col("first").isNull() | F.col("last").isNull() | ~(F.coalesce(F.col("_b") >= F.col("last"), F.lit(False)) | (F.col("_l") > F.col("last")))).drop("_b", "_l")
 
 
 def value_matches(model: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc, page, tbl, row, col) of cells whose text one run in their row and column holds, by the nearest centre where there are several.
+    """(doc, page, tbl, row, col, at) of ``cells`` (doc, page, tbl, row, col, norm) whose text one run in their row and column holds, by the nearest centre where there are several.
 
     One run in another column is no match. Of several runs in the column the strictly nearest one counts, equal ones none.
     """
     runs = word_runs(model, KEY)
-    hits = runs.join(cells.select(*KEY, "row", "col", comparable(F.col("text")).alias("norm")).filter("norm <> ''"), [*KEY, "norm"])
+    hits = joined(runs.filter("norm <> ''"), cells, ["tbl", "norm"])
     hits = maximal_runs(hits, [*KEY, "row", "col"]).filter("trow = row")
     middle = F.col("tx0") + (F.col("col") + 0.5) * (F.col("tx1") - F.col("tx0")) / F.col("n_cols")
-    cell = Window.partitionBy(*KEY, "row", "col")
-    hits = hits.withColumn("all", F.count("*").over(cell)).filter("tcol = col").withColumn("d", F.abs(F.col("centre") - middle))
-    near = hits.groupBy(*KEY, "row", "col").agg(F.count("*").alias("k"), F.sort_array(F.collect_list("d")).alias("ds"), F.min_by(F.struct("x0", "y0", "x1", "y1"), "d").alias("at"))
-    return near.filter((F.col("k") == 1) | (F.col("ds")[0] < F.col("ds")[1])).select(*KEY, "row", "col", "at")
+    cell = Window.partitionBy(*KEY, "row", "col").orderBy("d")
+    near = hits.filter("tcol = col").select(*KEY, "row", "col", F.abs(F.col("centre") - middle).alias("d"), F.struct("x0", "y0", "x1", "y1").alias("at"))
+    near = near.withColumns({"_n": F.row_number().over(cell), "_d": F.lead("d").over(cell)})
+    return near.filter((F.col("_n") == 1) & (F.col("_d").isNull() | (F.col("d") < F.col("_d")))).select(*KEY, "row", "col", "at")
 
 
 def solved(tables: DataFrame, words: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells with provenance, reason, the text they get, what recognition read (where it was replaced) and the box of their words."""
     model = layout_model(tables, words)
-    own = cells.filter(is_candidate(F.col("text"))).join(_points(tables), KEY, "left").withColumn("norm", comparable(F.col("text")))
+    asked = is_candidate(F.col("text"))
+    every = joined(cells, _points(tables), ["tbl"], "left")
     rect = cell_rect(F.struct(*[(F.col(f"t{c}") * 2).alias(c) for c in ("x0", "y0", "x1", "y1")]), F.col("row"), F.col("col"), F.col("n_rows"), F.col("n_cols"))
-    own = own.withColumn("r", rect)
-    t1 = value_matches(model, own.select(*KEY, "row", "col", "text"))
     at = [*KEY, "row", "col"]
+    every = every.withColumns({"norm": comparable(F.col("text")), "r": rect, "asked": asked}).select(*cells.columns, "norm", "r", "asked")
+    own = every.filter(asked)
+    t1 = value_matches(model, own.select(*at, "norm"))
     # geometric: the words whose centre lies in the cell's rectangle
     inside = words.join(own.filter("r is not null").select(*at, *[F.col(f"r.{c}").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")]), ["doc", "page"])
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     inside = inside.filter(cx.between(F.col("bx0"), F.col("bx1")) & cy.between(F.col("by0"), F.col("by1")))
     box = F.struct(*[F.bround(f(c), 2).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))])
-    joined = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), " ")
+    read = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), " ")
+    line = F.when(F.col("block").isNotNull() & F.col("line").isNotNull(), F.struct("block", "line"))
     t2 = inside.groupBy(*at).agg(
         F.bool_and((F.col("x0") >= F.col("bx0")) & (F.col("y0") >= F.col("by0")) & (F.col("x1") <= F.col("bx1")) & (F.col("y1") <= F.col("by1"))).alias("whole"),
-        F.countDistinct("block", "line").alias("lines"), joined(["x0", "word_no"]).alias("g_text"), box.alias("g_box"),
+        F.coalesce(F.min(line) == F.max(line), F.lit(False)).alias("one_line"), read(["x0", "word_no"]).alias("g_text"), box.alias("g_box"),
     )
-    t3 = model.filter("inside").groupBy(*KEY, F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(joined(["cy1", "x0", "word_no"]).alias("c_text"), box.alias("c_box"))
-    s = own.join(t1.withColumnRenamed("at", "v_box"), at, "left").join(t2, at, "left").join(t3, at, "left")
-    fails = F.when(F.col("whole").isNull(), "no_aligned_line").when(~F.col("whole"), "crossing").when(F.col("lines") != 1, "multi_line")
-    say = lambda p, r: F.struct(F.lit(p).alias("provenance"), (F.lit(r) if isinstance(r, str) else r).alias("reason"))
+    t3 = model.filter("inside").groupBy(*KEY, F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(read(["cy1", "x0", "word_no"]).alias("c_text"), box.alias("c_box"))
+    s = every
+    for t in (t1.withColumnRenamed("at", "v_box"), t2, t3):
+        s = joined(s, t, ["tbl", "row", "col"], "left")
+    fails = F.when(F.col("whole").isNull(), "no_aligned_line").when(~F.col("whole"), "crossing").when(~F.col("one_line"), "multi_line")
+    say = lambda p, r: F.struct(F.lit(p).alias("provenance"), (r if isinstance(r, Column) else F.lit(r).cast("string")).alias("reason"))
 
     def compared(text, how):
         t = comparable(F.col(text))
         return F.when(t == "", say("text_mismatch", "no_aligned_line")).when(t == F.col("norm"), say("text_confirmed", how)).when(is_confusion(F.col("norm"), t), say("text_backfilled", how)).otherwise(say("text_mismatch", "sanity_reject"))
 
     verdict = (
-        F.when(F.size(band_flags(F.col("text"))) > 0, say("text_mismatch", "band_range_incomplete"))
+        F.when(~F.col("asked"), say("vision", None))
+        .when(F.col("text").rlike("(?i)hz") & (F.size(band_flags(F.col("text"))) > 0), say("text_mismatch", "band_range_incomplete"))
         .when(F.col("v_box").isNotNull(), say("text_confirmed", "value_match"))
         .when(F.col("r").isNull(), say("text_mismatch", "shape_mismatch"))
         .when(fails.isNull(), compared("g_text", "geometric"))
@@ -208,11 +233,10 @@ def solved(tables: DataFrame, words: DataFrame, cells: DataFrame) -> DataFrame:
     s = s.withColumn("v", verdict)
     layer = F.when(F.col("v.reason") == "geometric", F.col("g_text")).when(F.col("v.reason") == "cluster", F.col("c_text"))
     words_box = F.when(F.col("v.reason") == "value_match", F.col("v_box")).when(F.col("v.reason") == "geometric", F.col("g_box")).when(F.col("v.reason") == "cluster", F.col("c_box"))
-    s = s.select(*at, F.col("v.provenance").alias("provenance"), F.col("v.reason").alias("reason"), F.when(F.col("v.provenance") == "text_backfilled", layer).alias("layer"), F.when(F.col("v.provenance") != "text_mismatch", words_box).alias("word_bbox"))
-    out = cells.join(s, at, "left")
-    return out.withColumns({
-        "provenance": F.coalesce("provenance", F.lit("vision")), "ocr_text": F.when(F.col("layer").isNotNull(), F.col("text")), "text": F.coalesce("layer", "text"),
-    }).drop("layer")
+    layer = F.when(F.col("v.provenance") == "text_backfilled", layer)
+    s = s.withColumns({"provenance": F.col("v.provenance"), "reason": F.col("v.reason"), "word_bbox": F.when(F.col("v.provenance").isin("text_confirmed", "text_backfilled"), words_box), "layer": layer})
+    s = s.withColumns({"ocr_text": F.when(F.col("layer").isNotNull(), F.col("text")), "text": F.coalesce("layer", "text")})
+    return s.select(*at, *[c for c in cells.columns if c not in at], "provenance", "reason", "word_bbox", "ocr_text")
 
 
 def backfill_summary(cells: DataFrame, pages: DataFrame | None = None, most: int = 50) -> DataFrame:

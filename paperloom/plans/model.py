@@ -34,9 +34,17 @@ ELEMENTS = r"""el AS (SELECT doc, 1 AS page, ord, 'e' || ord AS id, type, ((ord
     FROM (SELECT doc_id AS doc, (unnest(range(len(string_split(text, chr(10))))))::INTEGER AS ord, unnest(string_split(text, chr(10))) AS text FROM documents)))"""
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of one table per order: a header and quantity, price and discount of its lines, as the text layer has them (``layer``) and as recognised (``text``)."""
-    li = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.round(F.min("l_extendedprice")).cast("bigint").alias("p"), F.round(F.min("l_discount") * 100).cast("int").alias("c"))
+def cells(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    """Cells of one table per order: a header and quantity, price and discount of its lines, as the text layer has them (``layer``) and as recognised (``text``).
+
+    With ``parts``, each order's lines are brought together in one of so many partitions first, so that nothing derived by order moves again.
+    """
+    li = load(spark, d, "lineitem")
+    if parts:
+        li = li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount").repartition(parts, "l_orderkey")
+        # always true; as no filter and no choice of columns is pushed below it, all that is derived reads one and the same exchange
+        li = li.filter((F.monotonically_increasing_id() >= 0) | F.isnan(F.col("l_linenumber") + F.col("l_quantity") + F.col("l_extendedprice") + F.col("l_discount")))
+    li = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("int").alias("q"), F.round(F.min("l_extendedprice")).cast("bigint").alias("p"), F.round(F.min("l_discount") * 100).cast("int").alias("c"))
     long = li.select(F.col("l_orderkey").alias("tbl"), F.col("l_linenumber").alias("row"), F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(n).cast("string").alias("layer")) for i, n in enumerate("qpc")])).alias("x")).select("tbl", "row", "x.*")
     k = F.col("tbl") + F.col("row")
     read = F.when(k % 13 == 0, F.concat("layer", F.lit("7"))).when(k % 7 == 0, F.replace("layer", F.lit("0"), F.lit("O"))).otherwise(F.col("layer"))
@@ -66,7 +74,8 @@ def html(spark: SparkSession, d: str) -> DataFrame:
 
 def placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tables, words, cells) with places: each order's table a grid of 100 x 20 points a cell, its layer's word in the middle of each cell."""
-    c = cells(spark, d).withColumns({"doc": F.col("tbl"), "page": F.lit(1), "row": F.col("row") - 1})
+    # a line becomes three cells and three words, hence more and smaller partitions
+    c = cells(spark, d, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumns({"doc": F.col("tbl"), "page": F.lit(1), "row": F.col("row") - 1})
     size = c.groupBy("doc", "page", "tbl").agg((F.max("row") + 1).alias("n_rows"))
     tables = size.select("doc", "page", "tbl", F.lit(40.0).alias("x0"), F.lit(80.0).alias("y0"), F.lit(640.0).alias("x1"), (80.0 + 40.0 * F.col("n_rows")).alias("y1"), "n_rows", F.lit(3).alias("n_cols"))
     x, y = 20.0 + 100.0 * F.col("col") + 20, 40.0 + 20.0 * F.col("row") + 5
