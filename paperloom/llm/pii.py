@@ -2,10 +2,10 @@
 
 The text is folded position by position (look-alikes, full-width forms and invisible characters do not matter) and read
 whole, in overlapping windows. What is found, and from where to where, is the network's: its emissions in overlapping
-windows are weighed by how far inside a window a character stands and added, and one Viterbi pass over each whole text
-decides them together. A span is widened to whole tokens and freed of punctuation around it; an exact check that follows may
-only reject it (``plausible``). The weights are trained by ``pii_train`` from labelled spans, in windows around the places
-that could hold personal data (``regions``), and kept beside this module.
+windows are weighed by how far inside a window a character stands and added, and the best tag sequence of each whole text
+decides them together (``decode``). A span is widened to whole tokens and freed of punctuation around it; an exact check that follows may
+only reject it (``plausible``). The weights are trained by ``pii_train`` from labelled spans, in windows over whole texts,
+and kept beside this module.
 
 Defined results: null and empty texts have no spans; overlapping spans are resolved to the earlier and longer; repeated
 rows give repeated spans (the query keeps distinct ones); columns other than those named are ignored.
@@ -27,9 +27,11 @@ from .lookalikes import CYRILLIC, GREEK
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-WINDOW, STRIDE, CONTEXT, BATCH = 128, 96, 28, 256
+WINDOW, STRIDE, CONTEXT, BATCH = 128, 96, 28, 768
 #: Characters whose scores are held at once; a longer text is a part of its own.
 CHARS = 500_000
+#: Characters by which the bounds on other tags look to each side; more of them leave less to Viterbi, with the same tags.
+ROUNDS = 4
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 #: Characters the model knows; others fall into classes.
 _ALPHABET = "".join(map(chr, range(32, 127))) + "\n"
@@ -106,20 +108,27 @@ def encoded(text: str) -> np.ndarray:
     return out
 
 
-def _tanh_sigmoid(x):
-    np.multiply(x, 0.5, out=x)
-    np.tanh(x, out=x)
-    np.multiply(x, 0.5, out=x)
-    np.add(x, 0.5, out=x)
-    return x
-
-
 class Tagger:
-    """The trained network: embedding, two LSTM directions, emission layer and CRF transitions."""
+    """The trained network: embedding, two LSTM directions, emission layer and CRF transitions.
+
+    The cell takes as much in as it forgets, c = u + f (c - u) and h = o c, with f, o = clip(x / 4 + 1/2, 0, 1) and
+    u = clip(x, -1, 1): no exponentials, three gates. Gates stand as forget, output, candidate.
+    """
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: np.asarray(v, np.float32) for k, v in weights.items()}
-        self.table = {d: self.w["emb"] @ self.w[f"wx{d}"] + self.w[f"b{d}"] for d in "fb"}
+        n, embed = self.w["whf"].shape[0], self.w["emb"].shape[1]
+        scale = np.repeat(np.float32([0.25, 0.25, 1]), n)[:, None]
+        shift = np.repeat(np.float32([0.5, 0.5, 0]), n)
+        # rows: hidden units, embedding, one for the bias
+        self.gates = {d: np.concatenate([self.w[f"wh{d}"].T * scale, self.w[f"wx{d}"].T * scale, (self.w[f"b{d}"] * scale[:, 0] + shift)[:, None]], axis=1) for d in "fb"}
+        # below the gates, the scores of the hidden units: one product a step gives both
+        for d, at in (("f", 0), ("b", n)):
+            own = np.zeros((self.w["wo"].shape[1], self.gates[d].shape[1]), np.float32)
+            own[:, :n] = self.w["wo"][at : at + n].T
+            self.gates[d] = np.concatenate([self.gates[d], own])
+        self.letters = np.ascontiguousarray(self.w["emb"].T)
+        self.n, self.embed = n, embed
 
     @classmethod
     def load(cls, path: str = MODEL) -> Tagger:
@@ -127,30 +136,117 @@ class Tagger:
             return cls({k: f[k] for k in f.files})
 
     def _run(self, x: np.ndarray, d: str) -> np.ndarray:
+        """(t, tags, b): the share of one direction in the scores, for characters in the order they are read."""
         t, b = x.shape
-        wh = self.w[f"wh{d}"]
-        n = wh.shape[0]
-        h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
-        out = np.empty((t, b, n), np.float32)
-        for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            g = h @ wh
-            g += self.table[d][x[i]]
-            s = _tanh_sigmoid(np.ascontiguousarray(g[:, : 3 * n]))
-            u = np.tanh(g[:, 3 * n :])
-            c = s[:, n : 2 * n] * c + s[:, :n] * u
-            live = (x[i] > 0)[:, None]
-            c = c * live
-            h = s[:, 2 * n :] * np.tanh(c) * live
-            out[i] = h
+        n, w = self.n, self.gates[d]
+        z = np.zeros((w.shape[1], b), np.float32)
+        h, letters = z[:n], z[n:-1]
+        z[-1] = 1
+        g, c = np.empty((len(w), b), np.float32), np.zeros((n, b), np.float32)
+        both, f, o, u, e = g[: 2 * n], g[:n], g[n : 2 * n], g[2 * n : 3 * n], g[3 * n :]
+        out = np.empty((t, *e.shape), np.float32)
+        zero, one = np.float32(0), np.float32(1)
+        for i, codes in enumerate(x.astype(np.intp)):
+            np.take(self.letters, codes, axis=1, out=letters, mode="clip")
+            np.matmul(w, z, out=g)
+            if i:
+                out[i - 1] = e
+            both.clip(zero, one, out=both)
+            u.clip(-one, one, out=u)
+            c -= u
+            c *= f
+            c += u
+            np.multiply(o, c, out=h)
+        out[-1] = np.matmul(w[3 * n :, :n], h)
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(t, b) character numbers → (t, b, tags) scores."""
-        h = np.concatenate([self._run(x, "f"), self._run(x, "b")], axis=2)
-        return h @ self.w["wo"] + self.w["bo"]
+        """(t, b) character numbers → (t, b, tags) scores; columns end in zeros, whose scores mean nothing."""
+        t = len(x)
+        size = (x > 0).sum(0)
+        e = self._run(x, "f")
+        e += self.w["bo"][:, None]
+        if (size == t).all():
+            e += self._run(x[::-1], "b")[::-1]
+        else:  # backwards from each column's own end
+            turned = (size - 1 - np.arange(t)[:, None]) % t
+            e += np.take_along_axis(self._run(np.take_along_axis(x, turned, 0), "b"), turned[:, None], 0)
+        return e.transpose(0, 2, 1)
+
+    def _open(self, e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Whether another tag than the first could stand in a best sequence, for each row of the scores of several texts.
+
+        Bounds from above, for beginning and inner tags, on how far the best sequence up to here (``up``) and from here on
+        (``on``) leads the best one with the first tag here; each round brings in the characters one further away.
+        """
+        trans, start = self.w["trans"], self.w["start"]
+        kinds = slice(1, None, 2), slice(2, None, 2)
+        lead = []
+        for k in kinds:
+            columns = e[:, k].T
+            top = columns[0]
+            for c in columns[1:]:
+                top = np.maximum(top, c)
+            lead.append(top - e[:, 0])
+        cap_up = [float((trans[:, k] - trans[:, :1]).max()) for k in kinds]
+        cap_on = [float((trans[k] - trans[0]).max()) for k in kinds]
+        begin = [float((start[k] - start[0]).max()) for k in kinds]
+        step = [[float(trans[p, k].max() - trans[0, 0]) for k in kinds] for p in kinds]
+        enter = [float(trans[0, k].max() - trans[0, 0]) for k in kinds]
+        leave = [float(trans[k, 0].max() - trans[0, 0]) for k in kinds]
+        up = [x + c for x, c in zip(lead, cap_up)]
+        on = [np.full(len(e), c, np.float32) for c in cap_on]
+        for _ in range(ROUNDS):
+            far = [x + y for x, y in zip(lead, on)]
+            before, behind = [x[:-1] for x in up], [x[1:] for x in far]
+            new_up, new_on = [], []
+            for k in (0, 1):
+                x = np.maximum(before[0] + step[0][k], before[1] + step[1][k])
+                new_up.append(lead[k] + cap_up[k])
+                new_up[k][1:] = lead[k][1:] + np.clip(x, enter[k], max(cap_up[k], enter[k]))
+                new_up[k][first] = lead[k][first] + begin[k]
+                y = np.maximum(behind[0] + step[k][0], behind[1] + step[k][1])
+                new_on.append(np.full(len(e), cap_on[k], np.float32))
+                new_on[k][:-1] = np.clip(y, leave[k], max(cap_on[k], leave[k]))
+                new_on[k][last] = 0
+            up, on = new_up, new_on
+        return (up[0] + on[0] > -1e-3) | (up[1] + on[1] > -1e-3)
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tag sequence of each (length, tags) array of emission scores by Viterbi, all in one pass, aligned at their ends."""
+        """The best tag sequence of each (length, tags) array of emission scores.
+
+        Where no other tag can stand in a best sequence it is the first one; the stretches between such places are decoded
+        by Viterbi, each between its neighbours.
+        """
+        trans, start = self.w["trans"], self.w["start"]
+        size = np.array([len(e) for e in emissions])
+        ends = size.cumsum()
+        e = np.concatenate(emissions)
+        tags = np.zeros(len(e), np.int8)
+        open_ = np.zeros(len(e) + 1, bool)
+        open_[:-1] = self._open(e, ends - size, ends - 1)
+        cut = open_.copy()  # where a stretch begins: an open place behind a closed one or at the start of a text
+        cut[1:] &= ~open_[:-1]
+        cut[ends - size] = open_[ends - size]
+        begin = np.flatnonzero(cut)
+        over = ~open_
+        over[ends] = True
+        stop = np.flatnonzero(over)
+        end = stop[np.searchsorted(stop, begin, side="right")]
+        head, tail = np.isin(begin, ends - size), np.isin(end, ends)
+        e[begin[~head]] += trans[0] - start
+        e[end[~tail] - 1] += trans[:, 0]
+        order = np.argsort(end - begin, kind="stable")
+        while len(order):
+            longest = int(end[order[-1]] - begin[order[-1]])
+            most = max(1, min(8 * BATCH, CHARS // longest))
+            some, order = order[-most:].tolist(), order[:-most]
+            for i, y in zip(some, self._viterbi([e[begin[i] : end[i]] for i in some])):
+                tags[begin[i] : end[i]] = y
+        return np.split(tags, ends[:-1])
+
+    def _viterbi(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag sequence of each array, all in one pass, aligned at their ends."""
         order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
         t = len(emissions[order[0]])
         k = emissions[0].shape[1]
@@ -193,7 +289,7 @@ def postal_places(text: str) -> list[tuple[int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Merged stretches around all places that could hold personal data; training takes its windows from them."""
+    """Merged stretches around all places that could hold personal data. The query and the training read whole texts."""
     at = []
     for m in _DIGITS.finditer(text):
         a = m.start()
@@ -229,6 +325,24 @@ def windows(regions_of: list[list[tuple[int, int]]]) -> list[tuple[int, int, int
     return out
 
 
+def shares(part: list[tuple[int, int, int, int]], of: list[tuple[int, int, int]], t: int) -> np.ndarray:
+    """(t, windows, 1): the share of a window's scores at each place among those of all windows over it, by how far inside it stands.
+
+    A place is in one window or in two that follow one another.
+    """
+    a, b = np.array([w[2:] for w in part]).T
+    first, last = np.array([s[1:] for s in of]).T
+    # alike for most windows: length, whether one goes before, and how far the next one reaches
+    alike, which = np.unique(np.stack([b - a, a > first, np.minimum(STRIDE + WINDOW, last - a)]), axis=1, return_inverse=True)
+    size, follows, reach = alike.astype(np.float32)
+    at = np.arange(t, dtype=np.float32)[:, None]
+    inside = lambda x, y: np.maximum(np.minimum(at - x + 1, y - at), 0)
+    own = np.maximum(inside(0, size), 1)
+    before = np.where(follows > 0, inside(-STRIDE, WINDOW - STRIDE), 0)
+    behind = np.where(reach > size, inside(STRIDE, reach), 0)
+    return (own / (own + before + behind)).astype(np.float32)[:, which.reshape(-1), None]
+
+
 def widened(text: str, a: int, b: int) -> tuple[int, int]:
     """A span with the tokens it touches whole and without the punctuation around it."""
     while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
@@ -271,7 +385,6 @@ def spans_of(texts: list[str], tagger: Tagger, check: bool = True) -> list[list[
     codes = {no: encoded(texts[no]) for no in {w[1] for w in ws}}
     stretches = [(no, a, b) for no, own in enumerate(rs) for a, b in own]
     sums = [np.zeros((b - a, len(TAGS)), np.float32) for _, a, b in stretches]
-    weights = [np.zeros((b - a, 1), np.float32) for _, a, b in stretches]
     order = sorted(range(len(ws)), key=lambda i: ws[i][3] - ws[i][2])
     for at in range(0, len(order), BATCH):
         part = [ws[i] for i in order[at : at + BATCH]]
@@ -279,17 +392,19 @@ def spans_of(texts: list[str], tagger: Tagger, check: bool = True) -> list[list[
         x = np.zeros((t, len(part)), np.int16)
         for col, (_, no, a, b) in enumerate(part):
             x[: b - a, col] = codes[no][a:b]
-        e = tagger.emissions(x)
+        scores = tagger.emissions(x) * shares(part, [stretches[w[0]] for w in part], t)
+        turned = scores.transpose(0, 2, 1).reshape(-1, len(part))
+        e = np.empty((len(part), *scores.shape[::2]), np.float32)
+        for col in range(0, len(part), 16):  # a few columns at a time, or each number would be fetched from memory alone
+            e[col : col + 16].reshape(-1, len(turned))[:] = turned[:, col : col + 16].T
         for col, (number, _, a, b) in enumerate(part):
-            start, n = stretches[number][1], b - a
-            inside = np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)).astype(np.float32)[:, None]
-            sums[number][a - start : b - start] += inside * e[:n, col]
-            weights[number][a - start : b - start] += inside
+            start = stretches[number][1]
+            sums[number][a - start : b - start] += e[col, : b - a]
     by_length = sorted(range(len(stretches)), key=lambda i: len(sums[i]))
     while by_length:
         most = max(1, min(BATCH, CHARS // len(sums[by_length[-1]])))
         part, by_length = by_length[-most:], by_length[:-most]
-        for i, y in zip(part, tagger.decode([sums[i] / weights[i] for i in part])):
+        for i, y in zip(part, tagger.decode([sums[i] for i in part])):
             no, start, _ = stretches[i]
             text, n = texts[no], len(y)
             live = np.flatnonzero(y)
@@ -335,14 +450,12 @@ def personal_spans(df: DataFrame, keys: list[str], text: str, label: str | None
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger.load(model)
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                leads = part["_l"].to_list()
-                found = _spans_in_text([a + b for a, b in zip(leads, part["_t"])], tagger)
-                out = []
-                for key, l, t, spans in zip(part[keys].itertuples(index=False, name=None), leads, part["_t"], found):
-                    out += [(*key, k, a - len(l), t[a - len(l) : b - len(l)]) for k, a, b in spans if a >= len(l)]
-                yield pd.DataFrame(out, columns=[*keys, "kind", "start", "pii_value"])
+            leads = pdf["_l"].to_list()
+            found = _spans_in_text([a + b for a, b in zip(leads, pdf["_t"])], tagger)
+            out = []
+            for key, l, t, spans in zip(pdf[keys].itertuples(index=False, name=None), leads, pdf["_t"], found):
+                out += [(*key, k, a - len(l), t[a - len(l) : b - len(l)]) for k, a, b in spans if a >= len(l)]
+            yield pd.DataFrame(out, columns=[*keys, "kind", "start", "pii_value"])
 
     return own.mapInPandas(rows, ", ".join(f"{k} string" for k in keys) + ", kind string, start int, pii_value string")
 

@@ -377,3 +377,29 @@ def test_dates_and_counts_are_no_ids_and_addresses():
     assert not pii.plausible("id_number", "2019-04-27") and pii.plausible("id_number", "417-29-8863")
     assert not pii.plausible("address", "792 metres") and not pii.plausible("address", "September 2021")
     assert pii.plausible("address", "18 Marchmont Road, Appledore 40312") and pii.plausible("address", "PO Box 12, Ulmen") and pii.plausible("address", "7 Oak Lane, Ulmen HF1 2QV")
+
+
+def test_tags_of_whole_texts_are_those_of_one_viterbi_pass():
+    """Places that can only hold the first tag are left out of Viterbi, with the same tags; windows share their places fully."""
+    t, r = pii.Tagger.load(), np.random.default_rng(5)
+    for bias in (0, 4, 8, 16):
+        es = [(r.normal(size=(int(n), len(pii.TAGS))) * 4 + np.eye(len(pii.TAGS))[0] * bias).astype(np.float32) for n in (1, 2, 40, 300, 1)]
+        assert all((a == b).all() for a, b in zip(t.decode(es), t._viterbi(es)))
+    for n in (1, 127, 128, 129, 224, 225, 1000):
+        ws = pii.windows([[(0, n)]])
+        total, part = np.zeros(n), pii.shares(ws, [(0, 0, n)] * len(ws), min(n, pii.WINDOW))
+        for col, (_, _, a, b) in enumerate(ws):
+            total[a:b] += part[: b - a, col, 0]
+        assert np.allclose(total, 1)
+
+
+def test_a_character_costs_three_gates_without_exponentials():
+    """Per character and direction one product of at most 3 x 24 gates and the tags with 24 units, 8 letters and a bias; scores do not hang on the other columns."""
+    t = pii.Tagger.load()
+    assert t.gates["f"].shape[0] <= 3 * 24 + len(pii.TAGS) and t.gates["f"].shape[1] <= 24 + 8 + 1
+    texts = ["Contact person: Helen Aldringsby.", "Tel", "x1@y.example"]
+    x = np.zeros((40, 3), np.int16)
+    for col, text in enumerate(texts):
+        x[: len(text), col] = pii.encoded(text)
+    for col, text in enumerate(texts):
+        assert np.allclose(t.emissions(x)[: len(text), col], t.emissions(pii.encoded(text)[:, None])[:, 0], atol=1e-4)
