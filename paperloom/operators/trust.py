@@ -98,13 +98,15 @@ def attached(tables: DataFrame, elements: DataFrame) -> DataFrame:
     return tables.join(elements.select("doc", "id", "cell_confidence"), ["doc", "id"], "left")
 
 
-def proof_report(cells: DataFrame, most: int = 20) -> DataFrame:
-    """Counts by provenance and measure of (doc, tbl, provenance, confidence), per table, per document (tbl null) and over all (both null)."""
+def proof_report(cells: DataFrame, most: int = 20, whole: bool = False) -> DataFrame:
+    """Counts by provenance and measure of (doc, tbl, provenance, confidence), per table, per document (tbl null) and over all (both null); ``whole``: only over all."""
     p = F.col("provenance")
-    out = cells.rollup("doc", "tbl").agg(
-        F.count("*").alias("cells"), *[F.count_if(p == v).alias(v) for v in ("vision", "text_confirmed", "text_backfilled", "text_mismatch")],
-        F.count_if(F.col("confidence") < LOW).alias("low"), F.count_if(F.col("confidence").isNull()).alias("unmeasured"),
-    )
+    counts = {"cells": F.count("*"), **{v: F.count_if(p == v) for v in ("vision", "text_confirmed", "text_backfilled", "text_mismatch")}, "low": F.count_if(F.col("confidence") < LOW), "unmeasured": F.count_if(F.col("confidence").isNull())}
+    own = [c.alias(n) for n, c in counts.items()]
+    if whole:
+        out = cells.agg(*own).filter("cells > 0").select(*[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in ("doc", "tbl")], *counts)
+    else:  # counted by table first, so that only tables are repeated for each level
+        out = cells.groupBy("doc", "tbl").agg(*own).rollup("doc", "tbl").agg(*[F.sum(n).alias(n) for n in counts])
     return out.withColumn("coverage", F.bround(F.try_divide(F.col("text_confirmed") + F.col("text_backfilled"), F.col("cells") - F.col("vision")), 4))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import strings
-from paperloom.operators import backfill
+from paperloom.operators import backfill, trust
 from paperloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -92,3 +92,14 @@ def test_word_on_an_edge_and_a_table_without_rows(spark):
     got = {(r.doc, r.tbl, r.row): (r.provenance, r.reason) for r in backfill.solved(tables, words, cells).collect()}
     assert got["d", "t", 0] == ("text_backfilled", "cluster") and got["d", "t", 1] == ("text_mismatch", "crossing")
     assert got["e", "t", 0] == got["e", None, 0] == ("text_mismatch", "shape_mismatch")
+
+
+def test_proof_over_all_is_the_total_of_the_levels(spark):
+    rows = [("a", "t", "text_confirmed", 0.95), ("a", "t", "text_mismatch", None), ("a", "u", "vision", 0.5), ("b", "t", "text_backfilled", None)]
+    cells = spark.createDataFrame(rows, "doc string, tbl string, provenance string, confidence double")
+    levels, whole = trust.proof_report(cells), trust.proof_report(cells, whole=True)
+    assert levels.count() == 6 and levels.columns == whole.columns
+    total = whole.first()
+    assert levels.filter("doc is null and tbl is null").collect() == [total] and (total.cells, total.low, total.unmeasured, total.coverage) == (4, 1, 2, 0.6667)
+    assert trust.proof_report(cells.limit(0), whole=True).count() == trust.proof_report(cells.limit(0)).count() == 0
+    assert "Expand" not in registry.QUERIES["q_proof_report"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
