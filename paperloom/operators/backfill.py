@@ -239,7 +239,7 @@ def words_by_cell(tables: DataFrame, words: DataFrame) -> DataFrame:
     # no cell reaches beyond the padded box, so what is neither near nor in it is in none
     pairs = pairs.filter(F.col("near") | within(F.col("t"), PAD)).select(*words.columns, "t.*", "near", within(F.col("t"), 0.0).alias("inside"))
     key = [*KEY, "near"]
-    m = _arranged(first_runs(pairs, key), key)
+    m = first_runs(_arranged(pairs, key), key)  # last, so that the windows of the layout stay together and share their sorts
     for name, x, low, high, n in (("r", cy, "ty0", "ty1", "n_rows"), ("c", cx, "tx0", "tx1", "n_cols")):
         m = grid_places(m, name, x, F.col(low), F.col(high), F.col(n))
     held = lambda r, c: F.when(F.col(r).isNotNull() & F.col(c).isNotNull(), F.struct(F.col(r).alias("row"), F.col(c).alias("col"), F.lit(True).alias("held"), F.lit(False).alias("modelled")))
