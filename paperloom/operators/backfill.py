@@ -76,17 +76,6 @@ def band_flags(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(b.isNotNull() & wrong, F.lit(n)) for n, wrong in rules.items()]))
 
 
-def same(a: str, b: str, names: list[str]) -> Column:
-    """Whether two sides agree in columns, in a form that stays a residual of their join on the page."""
-    return F.expr(" and ".join(f"{a}.{n} <= {b}.{n} and {a}.{n} >= {b}.{n}" for n in names))
-
-
-def joined(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
-    """``a`` with the further columns of the rows of ``b`` of its page that agree in ``names``."""
-    on = F.expr("a.doc = b.doc and a.page = b.page") & same("a", "b", names)
-    return a.alias("a").join(b.alias("b"), on, how).select("a.*", *[f"b.{c}" for c in b.columns if c not in ("doc", "page", *names)])
-
-
 def words_in_boxes(words: DataFrame, boxes: DataFrame, on: list[str]) -> DataFrame:
     """Words whose centre lies in a box (bx0, by0, bx1, by1), edges included: an equi-join on the page with the box as residual."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
